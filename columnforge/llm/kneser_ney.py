@@ -35,7 +35,7 @@ from ._text import chunks
 ORDER = 4
 SYMBOLS = 64
 QUANTILE = 0.99
-MARGIN = 1.1
+MARGIN = 1.01
 PSEUDO = 100
 MIN_TRUSTED = 20
 _POINTS = 0x110000

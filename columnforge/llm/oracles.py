@@ -1,5 +1,138 @@
-"""DuckDB SQL for the operators that SQL can express."""
+"""DuckDB SQL for the operators that SQL can express.
+
+The others are held against brute force in the tests: parsing with automata (1), token files (2), perplexities (6),
+piece ids (8) and boosted trees (10).
+"""
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+OP3 = rf"""
+WITH w AS (
+  SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents
+), t AS (
+  SELECT doc_id, source, text, w, len(w) AS n,
+         CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(10) || w[i+1] || chr(10) || w[i+2]) ELSE [] END AS g,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines
+  FROM w
+), p AS (
+  SELECT row_number() OVER () AS k, * FROM t
+), e AS (
+  SELECT k, unnest(g) AS g, unnest(range(0, len(g))) AS i FROM p
+), twice AS (
+  SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM e) WHERE c > 1
+), covered AS (
+  SELECT k, count(DISTINCT i + d) AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS d) GROUP BY k
+), base AS (
+  SELECT doc_id, source, n AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM p LEFT JOIN covered USING (k)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base
+), hosts AS (
+  SELECT source, count(*)::DOUBLE AS n, sum(base_failed::DOUBLE) AS k FROM judged WHERE source IS NOT NULL GROUP BY source
+), m AS (
+  SELECT sum(k) / sum(n) AS mean, sum(k * k / n) / sum(n) - (sum(k) / sum(n)) * (sum(k) / sum(n)) AS spread FROM hosts
+), prior AS (
+  SELECT mean, CASE WHEN spread > 0 THEN least(greatest(mean * (1 - mean) / spread - 1, 2.0), 1000.0) ELSE 1000.0 END AS strength FROM m
+), ab AS (
+  SELECT CASE WHEN mean > 0 AND mean < 1 THEN mean * strength ELSE 1.0 END AS a, CASE WHEN mean > 0 AND mean < 1 THEN (1 - mean) * strength ELSE 1.0 END AS b FROM prior
+), rates AS (
+  SELECT source, round((k + a) / (n + (a + b)), 9) AS host_rate FROM hosts, ab
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate, NOT base_failed AND coalesce(host_rate, 0) <= 0.6 AS kept
+FROM judged LEFT JOIN rates USING (source)
+"""
+
+OP4 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM w
+), e AS (SELECT doc_id, unnest(s) AS x FROM s),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS MATERIALIZED (
+  SELECT a, b FROM common JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * n >= 75 * (len(x.s) + len(y.s) - n)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(reach.b) AS component_id, s.doc_id = min(reach.b) AS kept
+FROM s JOIN reach ON reach.a = s.doc_id GROUP BY s.doc_id, s.s
+"""
+
+OP5 = r"""
+WITH d AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
+), l AS (
+  SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS line FROM d
+), t AS (
+  SELECT doc_id, pos, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS tok FROM l
+), words AS (
+  SELECT doc_id, sum(len(tok)) AS words FROM t GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, pos, tok, len(tok) AS n, array_to_string(tok[1:3], ' ') AS head, array_to_string(tok, ' ') AS masked FROM t WHERE len(tok) >= 6
+), seen AS (
+  SELECT n, head, masked, md5(masked) AS m, any_value(tok) AS tok, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM lines GROUP BY n, head, masked
+), seeds AS (
+  SELECT n, head, min(m) AS sm, arg_min(masked, m) AS seed, arg_min(tok, m) AS stok FROM (SELECT *, max(docs) OVER (PARTITION BY n, head) AS top FROM seen) WHERE docs = top GROUP BY n, head
+), final AS (
+  SELECT seen.n, seen.head, masked, docs, first,
+         CASE WHEN list_sum(list_transform(range(1, seen.n + 1), lambda i: CASE WHEN tok[i] = stok[i] THEN 1 ELSE 0 END)) >= 0.75 * seen.n THEN seed ELSE masked END AS template
+  FROM seen JOIN seeds USING (n, head)
+), groups AS (
+  SELECT n, head, template, sum(docs) AS docs, min(first) AS first FROM final GROUP BY n, head, template HAVING sum(docs) >= 2
+), found AS (
+  SELECT doc_id, pos, lines.n, groups.first FROM lines JOIN final USING (n, head, masked) JOIN groups USING (n, head, template)
+), shares AS (
+  SELECT doc_id, first, count(*) AS k, sum(n) AS n FROM found GROUP BY doc_id, first
+), made AS (
+  SELECT doc_id, sum(k) AS n_recurring, min(CASE WHEN first <> doc_id AND n >= 0.5 * words THEN first END) AS copy_of, sum(CASE WHEN first <> doc_id THEN k ELSE 0 END) AS dropped
+  FROM shares JOIN words USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(n_recurring, 0)::BIGINT AS n_recurring, (CASE WHEN copy_of IS NULL THEN coalesce(dropped, 0) ELSE 0 END)::BIGINT AS n_dropped, copy_of
+FROM d LEFT JOIN made USING (doc_id)
+"""
+
+OP7 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), f AS (
+  SELECT *, CASE WHEN regexp_matches(text, '(<<|<|\[)\\*(/?(s|SYS>)>|/?(INST|ROLE)\]|/END\])')
+                 THEN regexp_replace(text, '(<<|<|\[)(\\*)(/?(?:s|SYS>)>|/?(?:INST|ROLE)\]|/END\])', '\1\\\2\3', 'g') ELSE text END AS escaped FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(escaped) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15 ELSE 19 + length(role) END)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+OP9 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i:i+m-1], ' ') AS g FROM (SELECT item_id, w, least(len(w), 10) AS m, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT m FROM bw),
+dw AS (
+  SELECT doc_id, m, i, array_to_string(w[i:i+m-1], ' ') AS g FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, sizes WHERE len(w) >= m)
+), hits AS (
+  SELECT doc_id, i, dw.m, item_id FROM dw JOIN bw USING (m, g)
+), n AS (
+  SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS x FROM hits) GROUP BY doc_id
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_quality_rules": OP3, "op4_near_dedup": OP4, "op5_line_dedup": OP5, "op7_chat_format": OP7, "op9_decontamination": OP9}

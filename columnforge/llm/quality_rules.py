@@ -73,7 +73,7 @@ def rules(docs: DataFrame, host: str = "source", host_limit: float = HOST_LIMIT)
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk")).first()
     a, b = prior(total.n or 0.0, total.k or 0.0, total.kk or 0.0)
     rate = (F.col("k") + F.lit(a)) / (F.col("n") + F.lit(a + b))
-    bad = hosts.select("_host", rate.alias("host_rate"))
+    bad = hosts.select("_host", F.round(rate, 9).alias("host_rate"))
     out = judged.join(bad, "_host", "left")
     kept = ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= host_limit)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", kept.alias("kept"))

@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The search reads one character after another. It keeps scores for a window of the longest piece's length and the
-pieces that still may grow across the last boundary. When none may, every surviving path goes through that
-boundary, and the ids up to it are final. Should a text without such a boundary go on, the paths are traced back
-to the last boundary that all share, so memory follows the window and not the text.
+The search takes one boundary after another and keeps scores for a window of the longest piece's length. When no
+piece from an earlier boundary goes beyond the present one, every surviving path goes through it, and the ids up to
+it are final. Should a text without such a boundary go on, the paths are traced back to the last boundary that all
+share, so memory follows the window and not the text.
 
 Scores: the piece file's own where it has log-probabilities; a file of merge ranks (as the BPE kind has) gives
 -ln(rank + RANK_OFFSET). Ties go to the longest last piece. A character that no piece covers becomes
@@ -34,6 +34,7 @@ SPACE = "▁"
 RANK_OFFSET = 10.0
 BYTE_COST = 10.0
 MEMORY = 400_000
+CHUNK = 4 << 20
 
 
 class Pieces:
@@ -49,12 +50,13 @@ class Pieces:
         if len(byte) < 256:
             raise ValueError("the piece file has no byte pieces")
         self.byte = [byte[b] for b in range(256)]
-        self.trie: dict = {}
+        self.root: list = [{}, None, -1]  # children, score, id
         self.longest = 1
         worst = 0.0
         plain: list[bytes] = [b""] * n
+        bytes_ = set(self.byte)
         for i, name in enumerate(names):
-            if i in self.byte:
+            if i in bytes_:
                 plain[i] = bytes([int(name[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 plain[i] = name.replace(SPACE, " ").encode()
@@ -64,10 +66,10 @@ class Pieces:
                     continue
                 score = -math.log(-scores[i] + RANK_OFFSET) if ranked else scores[i]
                 worst = min(worst, score)
-                node = self.trie
+                node = self.root
                 for c in name:
-                    node = node.setdefault(c, {})
-                node[""] = (score, i)
+                    node = node[0].setdefault(c, [{}, None, -1])
+                node[1:] = score, i
                 self.longest = max(self.longest, len(name))
         self.byte_score = worst - BYTE_COST
         self.piece_size = np.array([len(p) for p in plain], np.int64)
@@ -75,64 +77,86 @@ class Pieces:
         self.piece_bytes = np.frombuffer(b"".join(plain), np.uint8)
 
     def stream(self, text: Iterable[str]) -> Iterator[int]:
-        """Ids of a text of marked characters, given piece by piece or whole; a literal mark is '\\0' + mark."""
-        trie, byte_score = self.trie, self.byte_score
-        score, back, base = [0.0], [(0, ())], 0  # of boundaries base, base + 1, ...
-        active: list[tuple[int, dict]] = []
-        literal = False
-        for c in (x for block in text for x in block):
-            if c == "\0" and not literal:
-                literal = True
-                continue
-            at = base + len(score) - 1
-            raw = literal
-            literal = False
-            active.append((at, trie))
-            best, how, grow = -math.inf, None, []
-            if not raw:
-                for start, node in active:
-                    node = node.get(c)
-                    if node is None:
-                        continue
-                    grow.append((start, node))
-                    end = node.get("")
-                    if end is not None:
-                        s = score[start - base] + end[0]
-                        if s > best:
-                            best, how = s, (start, (end[1],))
-            code = c.encode()
-            s = score[-1] + byte_score * len(code)
-            if s > best and (how is None or how[0] != at):
-                best, how = s, (at, tuple(self.byte[b] for b in code))
-            score.append(best)
-            back.append(how)
-            active = [x for x in grow if len(x[1]) > ("" in x[1])]
-            if not active:
-                yield from self._path(back, base, at + 1)
-                score, back, base = [0.0], [(at + 1, ())], at + 1
-            elif len(score) > 8 * self.longest:
-                shared = self._shared(back, base, [at + 1, *(start for start, _ in active)])
-                if shared > base:
-                    yield from self._path(back, base, shared)
-                    score, back = score[shared - base :], back[shared - base :]
-                    base = shared
-        yield from self._path(back, base, base + len(score) - 1)
+        """Ids of a text of marked characters, given block by block.
+
+        Boundaries are taken in order. From each one all pieces are tried on the next `longest` characters; `far` is the
+        furthest boundary that any of them has reached. A boundary that nothing has crossed is on every path.
+        """
+        root, byte_score, longest = self.root, self.byte_score, self.longest
+        blocks, buf, ended = iter(text), "", False
+        score: list[float] = [0.0]
+        back: list[tuple[int, tuple[int, ...]] | None] = [(0, ())]
+        i, far, look = 0, 0, 8 * longest
+        while True:
+            while not ended and len(buf) - i <= longest + 1:
+                block = next(blocks, None)
+                ended = block is None
+                buf += block or ""
+            n = len(buf)
+            if i >= n:
+                break
+            s = score[i]
+            if back[i] is not None:
+                c = buf[i]
+                single = False
+                if c != "\0":
+                    node, j = root, i
+                    while j < n:
+                        node = node[0].get(buf[j])
+                        if node is None:
+                            break
+                        j += 1
+                        if node[1] is not None:
+                            single = single or j == i + 1
+                            while len(score) <= j:
+                                score.append(-math.inf)
+                                back.append(None)
+                            t = s + node[1]
+                            if t > score[j]:
+                                score[j], back[j] = t, (i, (node[2],))
+                            if j > far:
+                                far = j
+                if not single:  # bytes; a literal mark has its sign before it
+                    j = i + 1 + (c == "\0")
+                    code = buf[j - 1].encode("utf-8", "surrogatepass")
+                    while len(score) <= j:
+                        score.append(-math.inf)
+                        back.append(None)
+                    t = s + byte_score * len(code)
+                    if t > score[j]:
+                        score[j], back[j] = t, (i, tuple([self.byte[b] for b in code]))
+                    if j > far:
+                        far = j
+            i += 1
+            done = 0
+            if far <= i:
+                done = i
+            elif i >= look:  # looked at ever more rarely, so that a text whose paths never meet costs no more
+                done = self._shared(back, range(i, far + 1))
+                look = 2 * i
+            if done:
+                look = 8 * longest
+                yield from self._path(back, done)
+                buf, score = buf[done:], score[done:]
+                back = [(0, ()), *(b and (b[0] - done, b[1]) for b in back[done + 1 :])]
+                i, far = i - done, far - done
 
     @staticmethod
-    def _path(back: list, base: int, at: int) -> list[int]:
+    def _path(back: list, at: int) -> list[int]:
         out: list[tuple[int, ...]] = []
-        while at > base:
-            at, ids = back[at - base]
+        while at:
+            at, ids = back[at]
             out.append(ids)
         return [i for ids in reversed(out) for i in ids]
 
     @staticmethod
-    def _shared(back: list, base: int, ends: list[int]) -> int:
-        alive = set(ends)
+    def _shared(back: list, ends: Iterable[int]) -> int:
+        """The last boundary on the paths to all ends that can be reached."""
+        alive = {e for e in ends if back[e] is not None}
         while len(alive) > 1:
             last = max(alive)
             alive.remove(last)
-            alive.add(back[last - base][0] if last > base else base)
+            alive.add(back[last][0])
         return alive.pop()
 
     def encode(self, text: str) -> list[int]:
@@ -202,7 +226,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         own = coder(model)
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", CHUNK):
             ids, at = own.encode(part.column("text"))
             size = own.pieces.piece_size[ids]
             data = own.pieces.piece_bytes[ranges(own.pieces.piece_start[ids], size)]
@@ -218,7 +242,7 @@ def digests(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches):
         own = coder(model)
-        for part in chunks(batches, "text"):
+        for part in chunks(batches, "text", CHUNK):
             ids, at = own.encode(part.column("text"))
             size = own.pieces.piece_size[ids]
             data = own.pieces.piece_bytes[ranges(own.pieces.piece_start[ids], size)]
