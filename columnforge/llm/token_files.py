@@ -41,6 +41,10 @@ SELECT = 256
 SHARD_BYTES = 48 << 20
 #: Words that a worker remembers the ids of.
 MEMORY = 400_000
+#: Words encoded as one text, and signs that may end such a word.
+JOINED = 256
+SIGNS = tuple(".,!?:")
+CHUNK = 4 << 20
 
 
 class EliasFano:
@@ -126,6 +130,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = np.uint16 if self.width == 2 else np.uint32
+        # of a vocabulary that marks words' ends: which ids end one
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        if not self.ends.any():
+            self.ends = None
         self.forget()
 
     def forget(self) -> None:
@@ -143,10 +153,8 @@ class Encoder:
         slots = np.fromiter((self.slot.get(w, -1) for w in names), np.int64, len(names))
         new = np.flatnonzero(slots < 0)
         if len(new):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([names[i] for i in new], add_special_tokens=False)]
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((x for ids in found for x in ids), self.kind, int(counts.sum()))
-            self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(counts) - counts))
+            flat, start, counts = self._fresh([names[i] for i in new])
+            self.start = np.concatenate((self.start, len(self.ids) + start))
             self.ids, self.count = np.concatenate((self.ids, flat)), np.concatenate((self.count, counts))
             slots[new] = np.arange(len(self.slot), len(self.slot) + len(new))
             self.slot.update((names[i], int(slots[i])) for i in new)
@@ -156,6 +164,38 @@ class Encoder:
         return self.ids[ranges(self.start[word], counts)], np.diff(sums[at - at[0]])
 
 
+    def _fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words, and where each one's begin and how many they are.
+
+        Words of letters alone, or of letters and one sign, are encoded many at a time: the ids that end a part tell
+        them apart. Where the number of parts is not as expected, the words are encoded one by one.
+        """
+        parts = np.fromiter((1 if w.isalpha() else 2 if w[-1:] in SIGNS and w[:-1].isalpha() else 0 for w in words), np.int8, len(words))
+        counts = np.zeros(len(words), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        single = [np.flatnonzero(parts == 0)] if self.ends is not None else [np.arange(len(words))]
+        for n in (1, 2) if self.ends is not None else ():
+            own = np.flatnonzero(parts == n)
+            groups = [own[i : i + JOINED] for i in range(0, len(own), JOINED)]
+            texts = [" ".join([words[i] for i in g]) for g in groups]
+            for g, e in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.kind)
+                last = np.flatnonzero(self.ends[ids])
+                if len(last) != n * len(g) or last[-1] != len(ids) - 1:
+                    single.append(g)
+                else:
+                    counts[g] = np.diff(last[n - 1 :: n], prepend=-1)
+                    found.append((g, ids))
+        rest = np.concatenate(single)
+        for i, e in zip(rest.tolist(), self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            counts[i] = len(e.ids)
+            found.append((np.array([i]), np.array(e.ids, self.kind)))
+        order = np.concatenate([g for g, _ in found])
+        start = np.empty(len(words), np.int64)
+        start[order] = np.cumsum(counts[order]) - counts[order]
+        return np.concatenate([ids for _, ids in found]), start, counts
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -172,7 +212,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
     coder, out, lengths, ids = encoder(tokenizer), None, [], []
     name = f"{folder}/shard-{where:06d}-{uuid.uuid4().hex[:8]}.ids"
     store, inner = fs.FileSystem.from_uri(name)
-    for part in chunks(batches, "text"):
+    for part in chunks(batches, "text", CHUNK):
         flat, counts = coder.encode(part.column("text"))
         if out is None:
             store.create_dir(inner.rpartition("/")[0], recursive=True)
