@@ -32,6 +32,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
+    """Let Arrow batches hold at most `limit` bytes, so that a worker's memory does not follow its texts' lengths."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= limit:
+        spark.conf.set(key, str(limit))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)

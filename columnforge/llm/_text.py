@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Most bytes of text handled at once; a longer single text is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 U64 = np.uint64
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -99,7 +99,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     It depends on the bytes alone. Long buffers go in blocks, so the tables of powers stay small.
     """
     out = np.empty(len(starts), U64)
-    block, begin = 1 << 21, 0
+    block, begin = 1 << 20, 0
     with np.errstate(over="ignore"):
         while begin < len(starts):
             base = int(starts[begin])

@@ -8,9 +8,10 @@ concentration of full MinHash. Bands of ROWS coordinates give the candidates: a
 shares none of the 32 bands with probability (1 - 0.75^4)^32 = 5e-6.
 
 Documents of one equal set are a class; only one of each class goes on. Pairs within a bucket are never
-expanded: each bucket proposes its smallest member as leader, members are verified with leaders on full sets,
-and found components are contracted. A bucket is done once its members lie in one component; else it proposes
-further leaders, more in each round, until every pair that its components leave open has been compared.
+put out as rows: each document is verified with one leader of its buckets on full sets, and components are formed. In
+buckets that still hold several components, the sets of different components are compared block by block inside
+tasks, exactly, and only what joins components comes out. So every pair that shares a bucket is either in one
+component or compared.
 
 Defined cases: null or wordless text has an empty set, linked with nothing; fewer words than five are one
 shingle; repeated rows are one class; an id that occurs with several texts is one
@@ -160,46 +161,107 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = reps.select(F.col("doc_id").alias("node"), F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     buckets = stage(rows.join(shared.select("bucket"), "bucket", "left_semi"), "buckets")
-    short = reps.select(F.col("doc_id").alias("node"), "sketch")
+    # the member of a bucket that shares most with others leads it, so that a family's buckets mostly have one leader
+    weight = stage(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("size")), "bucket").groupBy("node").agg(F.sum("size").alias("weight")), "weights")
+    led = stage(buckets.join(weight, "node").groupBy("bucket").agg(F.max_by("node", "weight").alias("head"), F.max("weight").alias("weight")), "leaders")
     sets = _stored_sets(docs, reps, buckets)
-    links = stage(ties.distinct(), "ties")
-    comp = tried = used = None
-    leaders = 0
-    while True:
-        state = buckets
-        if comp is not None:
-            state = buckets.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-            mixed = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-            state = stage(state.join(mixed, "bucket", "left_semi"), "state")
-            buckets = state.select("bucket", "node")
-        free = state if used is None else state.join(used, ["bucket", "node"], "left_anti")
-        salt = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(max(1, leaders)))
-        heads = stage(free.groupBy("bucket", salt.alias("salt")).agg(F.min("node").alias("head")), "leaders")
-        if heads.isEmpty():
-            break
-        pairs = state.join(heads, "bucket").where("head <> node")
-        if comp is None:  # at first each document is compared with one leader, the smallest of all its buckets
-            pairs = pairs.groupBy(F.col("node").alias("a")).agg(F.min("head").alias("b")).where("b < a")
-        else:
-            now = heads.select("bucket", F.col("head").alias("node"))
-            used = now if used is None else used.union(now)
-            theirs = state.select("bucket", F.col("node").alias("head"), F.col("component").alias("c"))
-            pairs = pairs.join(theirs, ["bucket", "head"]).where("c <> component").select(F.greatest("node", "head").alias("a"), F.least("node", "head").alias("b")).distinct()
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        tried = pairs if tried is None else tried.union(pairs)
-        near = pairs.join(short.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(short.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-        near = stage(near.mapInArrow(_agreement, "a long, b long").distinct(), "candidates")
-        if not near.isEmpty() or comp is None:
-            links = links.union(stage(_verified(sets, near, percent), "links"))
-            comp = components(links)
-        leaders = 1 if not leaders else leaders * 8
-    out = members.join((comp if comp is not None else components(links)).withColumnRenamed("node", "rep"), "rep", "left")
+    # each document is first compared with one leader, the heaviest of all its buckets
+    pairs = buckets.join(led, "bucket").groupBy(F.col("node").alias("a")).agg(F.max_by("head", "weight").alias("b")).where("a <> b")
+    short = reps.select(F.col("doc_id").alias("node"), "sketch")
+    near = pairs.join(short.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(short.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
+    near = stage(near.mapInArrow(_agreement, "a long, b long").distinct(), "candidates")
+    links = ties.distinct().union(_verified(sets, near, percent))
+    comp = components(stage(links, "links"))
+    more = stage(_across(buckets, led, comp, sets, percent), "more-links")
+    if not more.isEmpty():
+        # between components; their labels stand for their members
+        joined = components(more, "joined").select(F.col("node").alias("component"), F.col("component").alias("into"))
+        nodes = comp.select("node", "component").union(joined.select(F.col("component").alias("node"), "component")).distinct()
+        comp = stage(nodes.join(joined, "component", "left").groupBy("node").agg(F.min(F.coalesce("into", "component")).alias("component")), "merged")
+    out = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     mine = F.when(F.col("n_shingles") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), mine).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+#: A task compares two blocks of at most about so many sets, and so many shingles.
+BLOCK_ROWS = 512
+BLOCK_SHINGLES = 1 << 20
+
+
+def _across(buckets: DataFrame, led: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, for all pairs of sets in a bucket whose components differ.
+
+    Buckets of one leader are a group. Its largest component need not be compared with itself, so its rows meet
+    the blocks of the others only. Blocks are compared inside tasks, which put out no more than what joins components.
+    """
+    state = buckets.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    mixed = state.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
+    heads = led.join(mixed, "bucket", "left_semi").select("bucket", "head")
+    rows = state.join(heads, "bucket").select("head", "node", "component").distinct()
+    rows = stage(rows.join(sets.select("node", F.size("shingles").cast("long").alias("n")), "node"), "groups")
+    parts = rows.groupBy("head", "component").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    whole = parts.groupBy("head").agg(F.max_by("component", "rows").alias("main"), F.sum("rows").alias("all_rows"), F.sum("n").alias("all_n"))
+    main = parts.select("head", F.col("component").alias("main"), F.col("rows").alias("main_rows"), F.col("n").alias("main_n"))
+    many = lambda r, n: F.greatest(F.ceil(r / BLOCK_ROWS), F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    plan = whole.join(main, ["head", "main"]).select("head", "main", many(F.col("main_rows"), F.col("main_n")).alias("main_blocks"), many(F.col("all_rows") - F.col("main_rows"), F.col("all_n") - F.col("main_n")).alias("blocks"))
+    own = rows.join(stage(plan, "plan"), "head")
+    is_main = F.col("component") == F.col("main")
+    mine = F.when(is_main, F.col("blocks") + F.pmod(F.xxhash64("node"), F.col("main_blocks"))).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int")
+    # blocks below `blocks` meet every block, the others only those
+    meets = F.sequence(F.lit(0), F.when(is_main, F.col("blocks")).otherwise(F.col("blocks") + F.col("main_blocks")) - 1)
+    dealt = own.select("head", "node", "component", mine.alias("mine"), F.explode(meets).alias("other"))
+    dealt = dealt.select("head", "node", "component", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    dealt = dealt.join(sets, "node")
+
+    def compare(table: pa.Table) -> pa.Table:
+        return _compare(table, percent)
+
+    return dealt.groupBy("head", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _compare(table: pa.Table, percent: int) -> pa.Table:
+    """Pairs of components that sets of block i and block j link."""
+    i, j = table["i"][0].as_py(), table["j"][0].as_py()
+    mine = table["mine"].to_numpy()
+    comp = table["component"].to_numpy()
+    lists = table["shingles"].combine_chunks()
+    size = np.asarray(lists.value_lengths())
+    row = np.repeat(np.arange(len(size)), size)
+    _, column, count = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+    common = np.zeros((len(left), len(right)), np.float32)
+    width = 2048
+    for first in range(0, int(shared.sum()), width):
+        a, b = np.searchsorted(column, (first, first + width))
+        some = np.zeros((len(size), width), np.float32)
+        some[row[a:b], column[a:b] - first] = 1
+        common += some[left] @ some[right].T
+    both = size[left][:, None] + size[right][None, :] - common
+    link = (100 * common >= percent * both) & (comp[left][:, None] != comp[right][None, :])
+    x, y = np.nonzero(link)
+    pairs = np.unique(np.sort(np.stack([comp[left[x]], comp[right[y]]], axis=1), axis=1), axis=0)
+    up: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while up.get(c, c) != c:
+            c = up[c]
+        return c
+
+    out = []
+    for p, q in pairs.tolist():
+        if top(p) != top(q):
+            up[max(top(p), top(q))] = min(top(p), top(q))
+            out.append((p, q))
+    return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
+
+
 def _stored_sets(docs: DataFrame, reps: DataFrame, buckets: DataFrame) -> DataFrame:
     """(node, shingles) of the class representatives that share a bucket with others."""
     wanted = reps.select("doc_id", "fp1").join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
