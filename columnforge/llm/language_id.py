@@ -34,7 +34,9 @@ TRAIN_BYTES = 24_000
 SAMPLES = 64
 BLOCK = 1024
 LANGUAGES = 256
-_MISS = np.uint32(1 << 31)
+#: An entry's two highest bits: how many phrases end there.
+_ENDS = np.uint32(30)
+_STATE = np.uint32((1 << 30) - 1)
 
 _CLEAN = np.full(256, 32, np.uint8)
 _CLEAN[97:123] = np.arange(97, 123)
@@ -74,7 +76,7 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 
 @dataclass
 class Automata:
-    """names[k]'s table k: entry state + symbol is the next state, with a bit set where a phrase ended."""
+    """names[k]'s table k: entry state + symbol is the next state, and the number of phrases that end there in its highest bits."""
 
     names: list[str]
     symbols: np.ndarray
@@ -96,10 +98,12 @@ class Automata:
                 for c, q in edges.items():
                     table[s, symbols[c]] = q * width
             restart = table[0].copy()
-            for s in range(len(go)):
+            # a phrase ends at a mismatch and the next one begins; a byte that the text lacks is a phrase of its own
+            alone = (restart == 0).astype(np.uint32)
+            for s in range(1, len(go)):
                 miss = table[s] == 0
-                table[s, miss] = restart[miss] | _MISS
-            table[0] = np.where(restart == 0, _MISS, restart)  # an unknown byte is a phrase of its own
+                table[s, miss] = restart[miss] | (1 + alone[miss]) << _ENDS
+            table[0] = restart | alone << _ENDS
             tables.append(table.reshape(-1))
             bits.append(float(np.log2(len(texts[name]) + 1)))
         return cls(names, symbols, width, tables, bits)
@@ -118,14 +122,14 @@ class Automata:
         out = np.zeros((len(size), len(self.names)), np.int64)
         live = np.searchsorted(-length, -np.arange(1, BLOCK + 1), "right") if len(length) else []
         for k, table in enumerate(self.tables):
-            state, count = np.zeros(len(start), np.uint32), np.ones(len(start), np.uint32)
+            state, count = np.zeros(len(start), np.uint32), np.zeros(len(start), np.uint32)
             for t, n in enumerate(live):
                 if not n:
                     break
                 s = table.take(state[:n] + code.take(start[:n] + t))
-                count[:n] += s >> np.uint32(31)
-                state[:n] = s & ~_MISS
-            out[:, k] = np.bincount(owner, count, len(size))
+                count[:n] += s >> _ENDS
+                state[:n] = s & _STATE
+            out[:, k] = np.bincount(owner, count + (state > 0), len(size))
         return out
 
 
