@@ -81,7 +81,7 @@ def rules(docs: DataFrame, host: str = "source", host_limit: float = HOST_LIMIT)
 
 def prior(n: float, k: float, kk: float) -> tuple[float, float]:
     """Alpha and beta from all rows, failures, and the sum over hosts of k^2 / n."""
-    mean = k / n if n else 0.5
+    mean = k / n if n else 0.0
     spread = kk / n - mean * mean if n else 0.0
     if not 0 < mean < 1:
         return 1.0, 1.0
