@@ -63,10 +63,11 @@ def epoch(ts: Column | str, unit: str) -> Column:
     if unit == "ns":
         return micros * 1000
     by = {"s": 1_000_000, "ms": 1_000, "us": 1}[unit]
-    return micros if by == 1 else F.expr("0L") + _div(micros, by)
+    return micros if by == 1 else _div(micros, by)
 
 
 def _div(x: Column, by: int) -> Column:
+    """Integer division, floored."""
     x = x - F.pmod(x, F.lit(by).cast("long"))
     return F.call_function("div", x, F.lit(by).cast("long"))
 

@@ -74,7 +74,7 @@ def null_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return counts.unpivot(["n"], columns, "column", "valid").select("column", F.col("n").alias("rows"), (F.col("n") - F.col("valid")).alias("nulls"))
 
 
-def null_mask(df: DataFrame, *columns: str) -> list[Column]:
+def null_mask(*columns: str) -> list[Column]:
     return [F.col(c).isNull().alias(f"{c}_is_null") for c in columns]
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import posixpath
+import tempfile
 import threading
 import uuid
 from collections.abc import Callable
@@ -12,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .errors import InvalidError
 from .functions import layout, render
 from .operators import codec, frame, nested
 from .plans import flightsql, types
@@ -54,14 +58,27 @@ def values_sql(rows: list[tuple], columns: list[str]) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({', '.join(columns)})"
 
 
+_made: list[str] = []
+
+
 def exchange_dir(spark: SparkSession) -> str:
-    """A folder for files that are written and read again: below the shared one if there is one."""
+    """A folder for files that are written and read again, below the shared one; removed when the program ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="columnforge-")
+    if not _made:
+        atexit.register(_clean)
+    _made.append(posixpath.join(base, "columnforge", uuid.uuid4().hex))
+    return _made[-1]
+
 
-        base = tempfile.gettempdir()
-    return posixpath.join(base, "columnforge", uuid.uuid4().hex)
+def _clean() -> None:
+    for path in _made:
+        store, inner = ipc.open_store(path)
+        with contextlib.suppress(OSError):
+            store.delete_dir(inner)
 
 
 # rows, columns, nulls
@@ -112,7 +129,7 @@ def null_counts(spark, sf_dir):
 
 @query(f"WITH h AS ({_HOLES}) SELECT o_orderkey, status IS NULL AS status_is_null, price IS NULL AS price_is_null FROM h")
 def null_mask(spark, sf_dir):
-    return _holes(spark, sf_dir).select("o_orderkey", *frame.null_mask(None, "status", "price"))
+    return _holes(spark, sf_dir).select("o_orderkey", *frame.null_mask("status", "price"))
 
 
 @query(f"""WITH h AS ({_HOLES}), s AS (SELECT * FROM h ORDER BY o_orderkey LIMIT 100 OFFSET 50)
