@@ -221,39 +221,44 @@ def coder(path: str) -> Coder:
     return _coders[path]
 
 
+def _run(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks with their ids, the offsets of each text's ids, the bytes that these give, and those bytes' offsets."""
+    own = coder(model)
+    for part in chunks(batches, "text", CHUNK):
+        ids, at = own.encode(part.column("text"))
+        size = own.pieces.piece_size[ids]
+        data = own.pieces.piece_bytes[ranges(own.pieces.piece_start[ids], size)]
+        yield part, ids, at, data, np.concatenate(([0], np.cumsum(size)))[at]
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, ids, decoded (the text that the ids give) for each document (doc_id, text)."""
 
     def run(batches):
-        own = coder(model)
-        for part in chunks(batches, "text", CHUNK):
-            ids, at = own.encode(part.column("text"))
-            size = own.pieces.piece_size[ids]
-            data = own.pieces.piece_bytes[ranges(own.pieces.piece_start[ids], size)]
-            ends = np.concatenate(([0], np.cumsum(size)))[at]
+        for part, ids, at, data, ends in _run(batches, model):
             texts = [data[a + 1 : b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(ids)), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (ids as little-endian 32-bit), text_crc32 (of the decoded bytes), exact (decoded equals the text)."""
 
     def run(batches):
-        own = coder(model)
-        for part in chunks(batches, "text", CHUNK):
-            ids, at = own.encode(part.column("text"))
-            size = own.pieces.piece_size[ids]
-            data = own.pieces.piece_bytes[ranges(own.pieces.piece_start[ids], size)]
-            ends = np.concatenate(([0], np.cumsum(size)))[at]
+        for part, ids, at, data, ends in _run(batches, model):
             source, place = text_bytes(part.column("text"))
-            view, flat, bounds = memoryview(data), memoryview(ids.astype("<u4")).cast("B"), at.tolist()
-            rows = []
-            for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-                got = view[min(a + 1, b) : b]
-                rows.append((bounds[k + 1] - bounds[k], zlib.crc32(flat[4 * bounds[k] : 4 * bounds[k + 1]]), zlib.crc32(got), got == memoryview(source[place[k] : place[k + 1]])))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True))], ["doc_id", "n_ids", "ids_crc32", "text_crc32", "exact"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, text_crc32 long, exact boolean")
+            view, whole, flat = memoryview(data), memoryview(source), memoryview(ids.astype("<u4")).cast("B")
+            crc, text_crc, exact = [], [], []
+            for k in range(part.num_rows):
+                got = view[min(ends[k] + 1, ends[k + 1]) : ends[k + 1]]
+                crc.append(zlib.crc32(flat[4 * at[k] : 4 * at[k + 1]]))
+                text_crc.append(zlib.crc32(got))
+                exact.append(got == whole[place[k] : place[k + 1]])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(text_crc, pa.int64()), pa.array(exact, pa.bool_())], ["doc_id", "n_ids", "ids_crc32", "text_crc32", "exact"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, text_crc32 long, exact boolean")

@@ -245,7 +245,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     folder = folder or new_path(spark, "ids")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    sorted_rows = rows.repartitionByRange(max(1, -(-size // shard_bytes)), F.asc_nulls_first("doc_id"), F.col("h")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.col("h"))
+    # copies of a row are alike, so a number of their own may deal them out
+    order = [F.asc_nulls_first("doc_id"), F.col("h"), F.col("copy")]
+    rows = rows.withColumn("copy", F.monotonically_increasing_id())
+    sorted_rows = rows.repartitionByRange(max(1, -(-size // shard_bytes)), *order).sortWithinPartitions(*order)
     made = stage(sorted_rows.mapInArrow(lambda b: _write(b, folder, tokenizer, end_id), "shard int, path string, n_docs long, n_ids long"), "manifest")
     rows, start = [], 0
     for r in made.orderBy("shard").collect():  # one short row for each shard
