@@ -7,6 +7,7 @@ have no width, so they need a declared type; nested containers need an explicit
 from __future__ import annotations
 
 import dataclasses
+import datetime as dt
 import typing
 from collections.abc import Iterable, Iterator
 from typing import Any, TypeVar
@@ -42,6 +43,25 @@ def _schema(rows: list[dict[str, Any]]) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in found.items()])
 
 
+def schema_of(kind: type) -> T.StructType:
+    """The schema of a dataclass by its annotations; Optional fields are nullable, an integer's width is given as Annotated[int, LongType()]."""
+    out = []
+    for f in dataclasses.fields(kind):
+        hint = typing.get_type_hints(kind, include_extras=True)[f.name]
+        args = typing.get_args(hint)
+        nullable = type(None) in args
+        if nullable:
+            hint = next(a for a in args if a is not type(None))
+        if typing.get_origin(hint) is typing.Annotated:
+            declared = next((m for m in hint.__metadata__ if isinstance(m, T.DataType)), None)
+        else:
+            declared = {str: T.StringType(), bool: T.BooleanType(), float: T.DoubleType(), bytes: T.BinaryType(), dt.datetime: T.TimestampType(), dt.date: T.DateType()}.get(hint)
+        if declared is None:
+            raise UnknownTypeError(f"{f.name}: {hint} needs a declared type")
+        out.append(T.StructField(f.name, declared, nullable))
+    return T.StructType(out)
+
+
 def encode(spark: SparkSession, rows: Iterable[Any], schema: T.StructType | None = None) -> DataFrame | None:
     """Rows as a DataFrame; None if there are none."""
     rows = [_fields(r) for r in rows]
@@ -85,6 +105,12 @@ def decode(df: DataFrame, kind: type[Row]) -> Iterator[Row]:
         yield kind(**values)
 
 
+def decode_rows(df: DataFrame) -> Iterator[tuple]:
+    """Rows by position, streamed."""
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        yield tuple(row)
+
+
 def decode_column(df: DataFrame, column: str | None = None, optional: bool = False) -> Iterator[Any]:
     """One column's values, streamed."""
     for (value,) in df.select(column or df.columns[0]).toLocalIterator(prefetchPartitions=True):

@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 from dataclasses import dataclass
+from typing import Annotated
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +133,27 @@ class Person:
     score: float | None
 
 
+@dataclass
+class Sized:
+    n: Annotated[int, T.ShortType()]
+    t: dt.date | None
+    raw: bytes
+
+
+@dataclass
+class Bare:
+    n: int
+
+
+def test_schema_of_a_class(spark):
+    schema = codec.schema_of(Sized)
+    assert schema == T.StructType([T.StructField("n", T.ShortType(), False), T.StructField("t", T.DateType()), T.StructField("raw", T.BinaryType(), False)])
+    df = codec.encode(spark, [Sized(1, None, b"x"), Sized(2, dt.date(2020, 1, 1), b"")], schema)
+    assert [r[:2] for r in codec.decode_rows(df)] == [(1, None), (2, dt.date(2020, 1, 1))]
+    with pytest.raises(UnknownTypeError):
+        codec.schema_of(Bare)
+
+
 def test_codec(spark):
     people = [Person("a", 1.5), Person("b", None)]
     df = codec.encode(spark, people)
