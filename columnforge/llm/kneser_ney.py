@@ -6,11 +6,12 @@ is a number below SYMBOLS ** ORDER.
 
 All trusted text is counted: each task adds up its n-grams, the counts are summed in shards by n-gram, and the
 continuation counts, context totals, counts of counts and discounts of each order are joins and aggregates over
-those shards. What is left, at most SYMBOLS ** ORDER rows whatever the corpus (16.8 million of 12 bytes), is laid out as one
-dense table of log-probabilities, so that scoring takes one look-up a character and moves no text.
+those shards. What is left, at most SYMBOLS ** ORDER rows whatever the corpus (16.8 million of 12 bytes), is sent
+to the workers and laid out as one dense table of log-probabilities there, so that scoring takes one look-up a
+character and moves no text.
 
-The threshold of a language is a quantile of the perplexities of its trusted documents, times a margin. For
-this a document's perplexity is drawn towards the language's mean as by PSEUDO more characters, so that short
+The threshold of a language is a quantile of the perplexities of its trusted documents, each by a model of the half
+of them that it is not in, times a margin. For this a document's perplexity is drawn towards the language's mean as by PSEUDO more characters, so that short
 texts are not rejected by chance. Too few trusted documents in a language: the threshold of all languages.
 
 Defined cases: null and empty text has no perplexity (null) and is kept; a null language is a language of its own;
@@ -22,12 +23,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._shared import stage
 from ._text import chunks
@@ -45,7 +48,8 @@ def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, lang of the documents labelled as of good quality and not toxic."""
     good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0").select("doc_id")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    return rows.where("text IS NOT NULL").join(good, "doc_id", "left_semi")
+    # by merging at every size, so that the plan of a small run is that of a large one; Spark adds a Bloom filter where it pays
+    return rows.where("text IS NOT NULL").join(good.hint("merge"), "doc_id", "left_semi")
 
 
 def _points(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,13 +109,39 @@ def _count_grams(batches: Iterator[pa.RecordBatch], lookup: np.ndarray) -> Itera
 
 @dataclass
 class Model:
-    lookup: np.ndarray
-    log: np.ndarray  # -ln of the probability of each n-gram's last symbol after the others
+    """The alphabet, and of each order the n-grams' alpha and the contexts' gamma; only these are sent to workers."""
+
+    alphabet: list[int]
+    orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+    def __getstate__(self) -> dict:
+        return {"alphabet": self.alphabet, "orders": self.orders}
+
+    @cached_property
+    def lookup(self) -> np.ndarray:
+        return _lookup(self.alphabet)
+
+    @cached_property
+    def log(self) -> np.ndarray:
+        """-ln of the probability of each n-gram's last symbol after the others; laid out once in a worker."""
+        prob = np.full(SYMBOLS, 1.0 / (SYMBOLS - 1), np.float32)
+        for k, (gram, alpha, context, gamma) in enumerate(self.orders, 1):
+            weight = np.ones(SYMBOLS ** (k - 1), np.float32)
+            weight[context] = gamma
+            # p(last | context) = alpha + gamma(context) * p(last | context without its first symbol)
+            rest = max(1, SYMBOLS ** (k - 2)) if k > 1 else 1
+            prob = (weight.reshape(-1, rest, 1) * prob.reshape(1, rest, SYMBOLS)).reshape(-1)
+            prob[gram] += alpha
+        np.maximum(prob, 1e-30, out=prob)
+        np.log(prob, out=prob)
+        return np.negative(prob, out=prob)
 
     def score(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Sum of -ln p, and the number of characters, of each text."""
         symbols, at, size = _symbols(text, self.lookup)
-        costs = np.concatenate((np.zeros(1), np.cumsum(self.log[_grams(symbols)] * (symbols[ORDER - 1 :] != 0), dtype=np.float64))) if len(symbols) >= ORDER else np.zeros(1)
+        if len(symbols) < ORDER:
+            return np.zeros(len(size)), size
+        costs = np.concatenate((np.zeros(1), np.cumsum(self.log[_grams(symbols)] * (symbols[ORDER - 1 :] != 0), dtype=np.float64)))
         place = np.minimum(at - ORDER + 1, len(costs) - 1)
         return costs[np.minimum(place + size, len(costs) - 1)] - costs[place], size
 
@@ -130,54 +160,72 @@ def _order(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return alpha, totals.select("context", (F.col("held") / F.col("total")).alias("g"))
 
 
-def train(text: DataFrame) -> Model | None:
-    """A model of all text in the column `text`; None if there is none."""
-    spark = text.sparkSession
-    text = text.select("text")
-    found = text.mapInArrow(_count_characters, "point int, c long").groupBy("point").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "point").limit(SYMBOLS - 2).collect()
-    if not found:
-        return None
-    lookup = _lookup([r.point for r in found])
-    held = spark.sparkContext.broadcast(lookup)
-    counts = text.mapInArrow(lambda b: _count_grams(b, held.value), "gram int, c long").groupBy("gram").agg(F.sum("c").alias("c"))
-    counts = stage(counts, "grams")
-    prob = np.full(1, 1.0 / (SYMBOLS - 1))
+def alphabet_of(text: DataFrame) -> list[int]:
+    """Code points of the most frequent characters."""
+    found = text.select("text").mapInArrow(_count_characters, "point int, c long").groupBy("point").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "point").limit(SYMBOLS - 2)
+    return [r.point for r in found.collect()]
+
+
+def counts_of(text: DataFrame, alphabet: list[int]) -> DataFrame:
+    """(gram, c): how often each n-gram occurs in the column `text`."""
+    return text.select("text").mapInArrow(lambda b: _count_grams(b, _lookup(alphabet)), "gram int, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+def model_of(counts: DataFrame, alphabet: list[int]) -> Model:
     orders = [counts]
-    for k in range(ORDER - 1, 0, -1):  # how many symbols come before each shorter n-gram
+    for k in range(ORDER - 1, 0, -1):  # the shorter n-grams: in how many different ones of the next order each ends
         shorter = F.pmod(F.col("gram"), F.lit(SYMBOLS**k)).cast("int")
         orders.append(stage(orders[-1].groupBy(shorter.alias("gram")).agg(F.count("*").alias("c")), f"grams-{k}"))
-    for k, each in enumerate(reversed(orders), 1):
+    parts = []
+    for each in reversed(orders):
         alpha, gamma = (x.toArrow() for x in _order(each))  # at most SYMBOLS ** k rows
-        weight = np.ones(SYMBOLS ** (k - 1))
-        weight[gamma["context"].to_numpy()] = gamma["g"].to_numpy()
-        lower = prob if k > 1 else np.repeat(prob, SYMBOLS)
-        # p(last | context) = alpha + gamma(context) * p(last | context without its first symbol)
-        prob = (weight[:, None] * np.tile(lower.reshape(-1, SYMBOLS), (SYMBOLS if k > 1 else 1, 1))).reshape(-1)
-        prob[alpha["gram"].to_numpy()] += alpha["a"].to_numpy()
-    return Model(lookup, -np.log(np.maximum(prob, 1e-30)).astype(np.float32))
+        parts.append(tuple(t[c].to_numpy().astype(kind) for t, c, kind in ((alpha, "gram", np.int32), (alpha, "a", np.float32), (gamma, "context", np.int32), (gamma, "g", np.float32))))
+    return Model(alphabet, parts)
+
+
+def train(text: DataFrame) -> Model | None:
+    """A model of all text in the column `text`; None if there is none."""
+    alphabet = alphabet_of(text)
+    return model_of(stage(counts_of(text, alphabet), "grams"), alphabet) if alphabet else None
+
+
+def train_halves(text: DataFrame) -> tuple[Model, DataFrame] | None:
+    """A model of all text (lang, text), and (lang, _nll, _chars) of each text by a model of the half that it is not in.
+
+    Thresholds come from those, as a model knows the texts that it was trained on too well. Copies are in one half.
+    """
+    alphabet = alphabet_of(text)
+    if not alphabet:
+        return None
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    parts = [stage(counts_of(text.where(half == k), alphabet), f"grams-half-{k}") for k in (0, 1)]
+    whole = model_of(stage(parts[0].unionAll(parts[1]).groupBy("gram").agg(F.sum("c").alias("c")), "grams"), alphabet)
+    scored = [score(text.where(half == 1 - k).select("lang", "text"), whole if p.isEmpty() else model_of(p, alphabet)).select("lang", "_nll", "_chars") for k, p in enumerate(parts)]
+    return whole, stage(scored[0].unionAll(scored[1]).where("_chars > 0"), "trusted")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents, all columns, with _nll and _chars."""
+    """The documents, all columns, with _nll and _chars, from the column text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
     def run(batches):
-        for part in chunks(batches, "_scored"):
-            nll, size = held.value.score(part.column("_scored"))
-            columns = [part.column(i) for i, f in enumerate(part.schema) if f.name != "_scored"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(nll), pa.array(size)], [*(f.name for f in part.schema if f.name != "_scored"), "_nll", "_chars"])
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(at).cast(pa.string()), pa.array(np.arange(batch.num_rows))], ["text", "row"])
+            found = [held.value.score(part.column("text")) for part in chunks(iter([texts]), "text")]
+            if found:
+                nll, size = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nll), pa.array(size)], [*batch.schema.names, "_nll", "_chars"])
 
-    schema = docs.schema.add("_nll", "double").add("_chars", "long")
-    return docs.withColumn("_scored", F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_nll", T.DoubleType()), T.StructField("_chars", T.LongType())]))
 
 
 def _drawn(mean: Column) -> Column:
     return F.exp((F.col("_nll") + PSEUDO * mean) / (F.col("_chars") + PSEUDO))
 
 
-def thresholds(text: DataFrame, model: Model, quantile: float = QUANTILE, margin: float = MARGIN) -> dict[str | None, tuple[float, float]]:
-    """Of each language (and "*", of all): mean of -ln p, and the highest perplexity that is kept."""
-    rows = stage(score(text.select("lang", "text"), model).select("lang", "_nll", "_chars").where("_chars > 0"), "trusted")
+def thresholds(rows: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> dict[str | None, tuple[float, float]]:
+    """Of each language (and "*", of all) in rows (lang, _nll, _chars): mean of -ln p, and the highest perplexity that is kept."""
     means = rows.groupBy("lang").agg((F.sum("_nll") / F.sum("_chars")).alias("mean"), F.count("*").alias("n"))
     cuts = rows.alias("r").join(means.alias("m"), F.col("r.lang").eqNullSafe(F.col("m.lang")))
     own = cuts.groupBy(F.col("m.lang").alias("lang"), "mean", "n").agg(F.percentile_approx(_drawn(F.col("mean")), quantile, 100_000).alias("cut"))
@@ -188,13 +236,16 @@ def thresholds(text: DataFrame, model: Model, quantile: float = QUANTILE, margin
     return found
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, all columns, with perplexity, drawn (perplexity as compared), threshold, kept."""
+def _judged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """Documents under names of their own with what was found, and their columns under the old names."""
     text = stage(trusted(docs, labels).select("lang", "text"), "trusted-text")
-    model = train(text)
-    if model is None:
-        return docs.select("*", *(F.lit(None).cast("double").alias(c) for c in ("perplexity", "drawn", "threshold")), F.lit(True).alias("kept"))
-    cuts = thresholds(text, model)
+    inner = [c if c in ("text", "lang") else f"_{k}" for k, c in enumerate(docs.columns)]
+    own, back = docs.toDF(*inner), [F.col(a).alias(b) for a, b in zip(inner, docs.columns, strict=True)]
+    found = train_halves(text)
+    model, held_out = found or (None, None)
+    cuts = thresholds(held_out) if found else {}
+    if not cuts:
+        return own.select("*", *(F.lit(None).cast("double").alias(c) for c in ("_perplexity", "_drawn", "_cut")), F.lit(True).alias("_kept")), back
 
     def pick(k: int) -> Column:
         out = F.lit(cuts["*"][k])
@@ -204,5 +255,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
         return out
 
     some = F.col("_chars") > 0
-    out = score(docs, model).withColumn("_cut", pick(1)).withColumn("_drawn", _drawn(pick(0)))
-    return out.select(*docs.columns, F.when(some, F.exp(F.col("_nll") / F.col("_chars"))).alias("perplexity"), F.when(some, F.col("_drawn")).alias("drawn"), F.col("_cut").alias("threshold"), (~some | (F.col("_drawn") <= F.col("_cut"))).alias("kept"))
+    out = score(own, model).withColumn("_cut", pick(1)).withColumn("_drawn", F.when(some, _drawn(pick(0))))
+    return out.withColumn("_perplexity", F.when(some, F.exp(F.col("_nll") / F.col("_chars")))).withColumn("_kept", ~some | (F.col("_drawn") <= F.col("_cut"))), back
+
+
+def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, all columns, with perplexity, drawn (perplexity as compared), threshold, kept."""
+    out, back = _judged(docs, labels)
+    return out.select(*back, F.col("_perplexity").alias("perplexity"), "_drawn", F.col("_cut").alias("threshold"), F.col("_kept").alias("kept")).withColumnRenamed("_drawn", "drawn")
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, all columns, that are kept."""
+    out, back = _judged(docs, labels)
+    return out.where("_kept").select(*back)
