@@ -2,7 +2,7 @@
 
 URLs that a rule decides are the labelled ones. Suffix statistics (block rates of a host's last label and last
 two labels, over all labelled URLs) are partial sums by suffix. The trees are fitted on the driver to at most
-TRAIN_ROWS labelled URLs with the smallest hashes; this bound and the trees' size are parameters.
+TRAIN_ROWS labelled URLs, an even share by hash; this bound and the trees' size are parameters.
 
 Features: length of url, host and path; depth; share of digits; entropy of bytes; parameters; hyphens; labels of
 the host; block rates of the two suffixes.
@@ -141,7 +141,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], train_rows: int = TRAI
         rate = known.groupBy(s).agg(((F.sum("y") + SMOOTH * mean) / (F.count("*") + SMOOTH)).alias(f"{s}_rate"))
         rows = rows.join(stage(rate, f"rate-{s}"), s, "left")
     rows = rows.select("page_id", "url", "host", "path", "rule", "ruled", *(F.coalesce(f"{s}_rate", F.lit(mean)).alias(f"{s}_rate") for s in ("s1", "s2")))
-    sample = rows.where("ruled IS NOT NULL").orderBy(F.xxhash64("url"), "page_id").limit(train_rows).collect()
+    # an even share of the labelled urls by hash, so that no more than the sample comes to the driver
+    mark = F.xxhash64("url", "page_id")
+    share = min(1.0, train_rows / max(1, pooled.n))
+    sample = rows.where(F.col("ruled").isNotNull() & (F.pmod(mark, F.lit(1 << 30)) < round(share * (1 << 30)))).limit(train_rows).collect()
+    sample.sort(key=lambda r: (r.url, r.page_id or 0))
     x = lexical([r.url for r in sample], [r.host for r in sample], [r.path for r in sample], [np.array([r.s1_rate for r in sample]), np.array([r.s2_rate for r in sample])])
     trees = fit_trees(x, np.array([float(r.ruled == "block") for r in sample]))
     held = pages.sparkSession.sparkContext.broadcast(trees if sample else None)
