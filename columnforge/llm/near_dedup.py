@@ -152,7 +152,8 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     profile = stage(docs.mapInArrow(_profile, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary"), "profile")
     fp = ["fp1", "fp2", "n_shingles"]
     real = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = real.groupBy(*fp).agg(F.min("doc_id").alias("rep"))
+    # written, so that both sides of the joins below are dealt out for them and a hot class can be split
+    classes = stage(real.groupBy(*fp).agg(F.min("doc_id").alias("rep")), "classes")
     # ids that occur with several sets tie their classes together
     tied = real.groupBy("doc_id").agg(F.min("fp1").alias("x"), F.max("fp1").alias("y")).where("x <> y").select("doc_id")
     members = stage(profile.select("doc_id", *fp).join(classes, fp, "left"), "members")
