@@ -154,6 +154,30 @@ def test_lines_of_odd_rows(make, odd):
     assert left.count() == 2
 
 
+def test_only_verified_copies_keep_lines(make):
+    """Half of the words from one document make no copy; a copy loses what it has from other documents."""
+    rng = random.Random(12)
+    passage, note = words(rng, 60), "this work is licensed to all of you"
+    body = [words(rng, 12) for _ in range(40)]
+    changed = [*body[:39], words(rng, 12)]
+    texts = [note + "\n" + words(rng, 40), words(rng, 40) + "\n" + passage, words(rng, 40) + "\n" + passage, "\n".join([*body, note]), "\n".join([*changed, note]), "\n".join([*body, note])]
+    left = {r.doc_id: r.text for r in line_dedup.clean(make(texts)).collect()}
+    assert left[0] == texts[0] and left[1] == texts[1]
+    assert left[2] == texts[2].split("\n")[0]  # a Jaccard of 0.43: neither stage would have dropped it
+    assert (left[3], left[4], left[5]) == ("\n".join(body), "\n".join(changed), "\n".join(body))
+    assert {r.component_id for r in near_dedup.duplicates(line_dedup.clean(make(texts))).where("doc_id > 2").collect()} == {3}
+
+
+def test_copies_that_near_dedup_would_not_find_lose_lines(make):
+    """What decides is what is left of both: here most of what two documents share comes from a third."""
+    rng = random.Random(13)
+    shared, own, rest = words(rng, 120), words(rng, 150), [words(rng, n) for n in (100, 30, 30)]
+    texts = [shared + "\n" + rest[0], "\n".join([shared, own, rest[1]]), "\n".join([shared, own, rest[2]])]
+    assert {c for d, _, c in brute_components(list(enumerate(texts))) if d == 2} == {1}
+    left = {r.doc_id: r.text for r in line_dedup.clean(make(texts)).collect()}
+    assert left == {0: texts[0], 1: own + "\n" + rest[1], 2: rest[2]}
+
+
 # Kneser-Ney
 
 
