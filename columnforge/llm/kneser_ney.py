@@ -12,15 +12,18 @@ character and moves no text.
 
 The threshold of a language is a quantile of the perplexities of its trusted documents, each by a model of the half
 of them that it is not in, times a margin. For this a document's perplexity is drawn towards the language's mean as by PSEUDO more characters, so that short
-texts are not rejected by chance. Too few trusted documents in a language: the threshold of all languages.
+texts are not rejected by chance. How far the quantile lies above the language's mean (in logarithms) is drawn towards
+the same of all trusted documents, each against the mean of its own language, as by SHRINK more documents: one rule for
+any number of them, in which no language is held to the level of another.
 
 Defined cases: null and empty text has no perplexity (null) and is kept; a null language is a language of its own;
-without trusted text all documents are kept; labels without a document, null labels and repeated labels are
+without trusted text, of a language or at all, its documents are kept (threshold null); labels without a document, null labels and repeated labels are
 ignored; repeated rows are judged alike; an empty table gives no rows; other columns stay as they are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -40,7 +43,7 @@ SYMBOLS = 64
 QUANTILE = 0.99
 MARGIN = 1.01
 PSEUDO = 100
-MIN_TRUSTED = 20
+SHRINK = 20
 _POINTS = 0x110000
 
 
@@ -225,15 +228,13 @@ def _drawn(mean: Column) -> Column:
 
 
 def thresholds(rows: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> dict[str | None, tuple[float, float]]:
-    """Of each language (and "*", of all) in rows (lang, _nll, _chars): mean of -ln p, and the highest perplexity that is kept."""
+    """Of each language in rows (lang, _nll, _chars): mean of -ln p, and the highest perplexity that is kept."""
     means = rows.groupBy("lang").agg((F.sum("_nll") / F.sum("_chars")).alias("mean"), F.count("*").alias("n"))
-    cuts = rows.alias("r").join(means.alias("m"), F.col("r.lang").eqNullSafe(F.col("m.lang")))
-    own = cuts.groupBy(F.col("m.lang").alias("lang"), "mean", "n").agg(F.percentile_approx(_drawn(F.col("mean")), quantile, 100_000).alias("cut"))
-    found = {r.lang: (r.mean, r.cut * margin) for r in own.where(F.col("n") >= MIN_TRUSTED).collect()}
-    whole = rows.agg((F.sum("_nll") / F.sum("_chars")).alias("mean")).first()[0]
-    if whole is not None:
-        found["*"] = (whole, rows.agg(F.percentile_approx(_drawn(F.lit(whole)), quantile, 100_000)).first()[0] * margin)
-    return found
+    over = rows.alias("r").join(means.alias("m"), F.col("r.lang").eqNullSafe(F.col("m.lang"))).select("m.lang", "mean", "n", (F.log(_drawn(F.col("mean"))) - F.col("mean")).alias("over"))
+    at = F.percentile_approx("over", quantile, 100_000)
+    whole = over.agg(at).first()[0]
+    own = over.groupBy("lang", "mean", "n").agg(at.alias("over")).collect()
+    return {r.lang: (r.mean, math.exp(r.mean + (r.n * r.over + SHRINK * whole) / (r.n + SHRINK)) * margin) for r in own}
 
 
 def _judged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[Column]]:
@@ -248,15 +249,14 @@ def _judged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[Column]
         return own.select("*", *(F.lit(None).cast("double").alias(c) for c in ("_perplexity", "_drawn", "_cut")), F.lit(True).alias("_kept")), back
 
     def pick(k: int) -> Column:
-        out = F.lit(cuts["*"][k])
+        out = F.lit(None).cast("double")
         for lang, pair in cuts.items():  # a row for each language
-            if lang != "*":
-                out = F.when(F.col("lang").cast("string").eqNullSafe(F.lit(lang)), F.lit(pair[k])).otherwise(out)
+            out = F.when(F.col("lang").cast("string").eqNullSafe(F.lit(lang)), F.lit(pair[k])).otherwise(out)
         return out
 
     some = F.col("_chars") > 0
     out = score(own, model).withColumn("_cut", pick(1)).withColumn("_drawn", F.when(some, _drawn(pick(0))))
-    return out.withColumn("_perplexity", F.when(some, F.exp(F.col("_nll") / F.col("_chars")))).withColumn("_kept", ~some | (F.col("_drawn") <= F.col("_cut"))), back
+    return out.withColumn("_perplexity", F.when(some, F.exp(F.col("_nll") / F.col("_chars")))).withColumn("_kept", ~some | F.col("_cut").isNull() | (F.col("_drawn") <= F.col("_cut"))), back
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

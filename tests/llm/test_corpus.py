@@ -259,6 +259,25 @@ def test_classifier_of_odd_rows(spark, make, odd):
     assert kneser_ney.classify(docs.limit(0), labels).count() == 0
 
 
+def test_languages_without_trusted_text_are_kept(spark, make):
+    """No language is judged by the level of another, be it rare, unlabelled or without labels."""
+    rng = random.Random(14)
+    rows = [(k, words(rng, 40), "en", "s") for k in range(60)] + [(100 + k, words(rng, 40, "qrstuvwxyz"), lang, "s") for k, lang in enumerate(("xx", None, "xx"))]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in kneser_ney.classify(make(rows), labels).collect()}
+    assert all(got[k].kept and got[k].threshold is None and got[k].perplexity > got[0].threshold for k in (100, 101, 102))
+    more = labels.unionAll(spark.createDataFrame([(100, 1, 0)], labels.schema))
+    got = {r.doc_id: r for r in kneser_ney.classify(make(rows), more).collect()}
+    assert got[102].kept and got[102].threshold is not None
+
+
+def test_one_more_label_moves_a_threshold_little(spark):
+    rng = random.Random(15)
+    rows = [("en", 1000 * rng.gauss(2, 0.1), 1000) for _ in range(500)] + [("de", 1000 * rng.gauss(3, 0.1), 1000) for _ in range(30)]
+    cut = [kneser_ney.thresholds(spark.createDataFrame(rows[: 500 + n], "lang string, _nll double, _chars long"))["de"][1] for n in (3, 19, 20, 21)]
+    assert all(math.exp(3) < c < math.exp(3.5) for c in cut) and max(cut[1:]) / min(cut[1:]) < 1.05
+
+
 # decontamination
 
 
