@@ -7,9 +7,9 @@ share, so memory follows the window and not the text.
 
 Scores: the piece file's own where it has log-probabilities; a file of merge ranks (as the BPE kind has) gives
 -ln(rank + RANK_OFFSET). Ties go to the longest last piece. A character that no piece covers becomes
-byte pieces. As no piece has a space mark after another character, each space mark starts a new piece, and equal
-words are encoded once. Pieces of several space marks are decoded but never chosen. A space mark in the text
-itself is written as bytes, so decoding returns every text exactly.
+byte pieces. Pieces may begin with several space marks, but none has a mark after another character, so the first
+mark of a run starts a new piece: a run and the word after it are searched as one unit, and equal units are encoded
+once. A space mark in the text itself is written as bytes, so decoding returns every text exactly.
 
 Defined cases: null and empty text have no ids and decode to an empty text; repeated rows are encoded each;
 an empty table gives no rows; other columns are ignored.
@@ -60,10 +60,8 @@ class Pieces:
                 plain[i] = bytes([int(name[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 plain[i] = name.replace(SPACE, " ").encode()
-                if SPACE in name[1:]:
-                    if name.strip(SPACE):
-                        raise ValueError("pieces that go on after a space are not supported")
-                    continue
+                if SPACE in name.lstrip(SPACE):
+                    raise ValueError("pieces that go on after a space are not supported")
                 score = -math.log(-scores[i] + RANK_OFFSET) if ranked else scores[i]
                 worst = min(worst, score)
                 node = self.root
@@ -137,7 +135,7 @@ class Pieces:
             if done:
                 look = 8 * longest
                 yield from self._path(back, done)
-                buf, score = buf[done:], score[done:]
+                buf, score = buf[done:], [x - score[done] for x in score[done:]]  # so that ties do not hang on what came before
                 back = [(0, ()), *(b and (b[0] - done, b[1]) for b in back[done + 1 :])]
                 i, far = i - done, far - done
 
@@ -174,8 +172,25 @@ def mark(text: str) -> str:
     return text.replace(" ", SPACE)
 
 
+def _units(words: pa.Array, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Of texts split at each space (offsets at): words with the spaces before them, but the first, and their offsets.
+
+    An empty word within a text is one more space of a run, that of the word after it.
+    """
+    ends = np.asarray(pc.binary_length(words)) > 0
+    ends[at[1:] - 1] = True  # each text has a word at least
+    if ends.all():
+        return words, at
+    place = np.flatnonzero(ends)
+    more = np.diff(place, prepend=-1) - 1
+    units = words.take(pa.array(place))
+    run = more > 0
+    longer = pc.binary_join_element_wise(pc.binary_repeat(pa.scalar(" ", units.type), pa.array(more[run])), units.filter(pa.array(run)), pa.scalar("", units.type))
+    return pc.replace_with_mask(units, pa.array(run), longer), np.concatenate(([0], np.cumsum(ends)))[at]
+
+
 class Coder:
-    """Pieces with a memory of words."""
+    """Pieces with a memory of words and the spaces before them."""
 
     def __init__(self, path: str) -> None:
         self.pieces = Pieces(path)
@@ -191,7 +206,8 @@ class Coder:
             self.forget()
         lists = pc.split_pattern(pc.fill_null(text.cast(pa.large_string()), ""), " ")
         at = np.asarray(lists.offsets, np.int64)
-        coded = lists.flatten().dictionary_encode()
+        units, at = _units(lists.flatten(), at - at[0])
+        coded = units.dictionary_encode()
         names = coded.dictionary.to_pylist()
         slots = np.fromiter((self.slot.get(w, -1) for w in names), np.int64, len(names))
         new = np.flatnonzero(slots < 0)
@@ -205,11 +221,10 @@ class Coder:
             self.slot.update((names[i], int(slots[i])) for i in new)
         word = slots[coded.indices.to_numpy()]
         counts = self.count[word].copy()
-        rows = at - at[0]
         empty = np.asarray(pc.equal(pc.binary_length(pc.fill_null(text.cast(pa.large_string()), "")), 0))
-        counts[rows[:-1][empty]] = 0  # an empty text is one empty word, and has no ids
+        counts[at[:-1][empty]] = 0  # an empty text is one empty word, and has no ids
         sums = np.concatenate(([0], np.cumsum(counts)))
-        return self.ids[ranges(self.start[word], counts)], sums[rows]
+        return self.ids[ranges(self.start[word], counts)], sums[at]
 
 
 _coders: dict[str, Coder] = {}

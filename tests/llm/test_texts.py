@@ -196,6 +196,39 @@ def test_stream_finds_the_best_path(pieces):
         assert cost(own, ids) == pytest.approx(best(own, text))
 
 
+def test_runs_of_spaces_take_the_best_path_over_all_pieces(pieces):
+    """Against all pieces of the file, not those that the search has kept; also through the memory of words."""
+    import sentencepiece
+
+    own, model = sentencepiece_viterbi.Coder(pieces), sentencepiece.SentencePieceProcessor(model_file=pieces)
+    usable = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
+    score = {model.id_to_piece(i): -math.log(-model.get_score(i) + sentencepiece_viterbi.RANK_OFFSET) for i in usable}
+    by_id = {i: score[model.id_to_piece(i)] for i in usable}
+    assert sum(len(p) > 1 and not p.strip(sentencepiece_viterbi.SPACE) for p in score) == 14
+    longest = max(map(len, score))
+
+    def highest(text):
+        marked = (sentencepiece_viterbi.SPACE + text.replace(" ", sentencepiece_viterbi.SPACE)) if text else ""
+        at = [0.0] + [-math.inf] * len(marked)
+        for end in range(1, len(marked) + 1):
+            if marked[end - 1] not in score:
+                at[end] = at[end - 1] + own.pieces.byte_score * len(marked[end - 1].encode())
+            at[end] = max([at[end], *(at[k] + score[marked[k:end]] for k in range(max(0, end - longest), end) if marked[k:end] in score)])
+        return at[-1]
+
+    rng = random.Random(16)
+    texts = [" ", "  ", "a  b", "def f():\n        return 1\n    pass", "  x", "x   ", "", None, "a b", "é" + " " * 40 + "\t", "x" + " " * 5000 + "y", "\n" + " " * 16]
+    texts += ["".join(rng.choice(["the", "a", "\n", "é", " ", "  ", " " * rng.randrange(1, 40)]) for _ in range(rng.randrange(1, 60))) for _ in range(60)]
+    for _ in range(2):  # new, and remembered
+        ids, ends = own.encode(pa.array(texts))
+        for k, text in enumerate(texts):
+            got = ids[ends[k] : ends[k + 1]]
+            assert own.pieces.decode(got).decode() == (text or "")
+            assert sum(by_id.get(int(i), own.pieces.byte_score) for i in got) == pytest.approx(highest(text or ""))
+            assert got.tolist() == own.pieces.encode(text or "")
+    assert len(own.pieces.encode(" " * 15)) == 1
+
+
 def test_stream_is_the_same_in_any_blocks(pieces):
     own = sentencepiece_viterbi.Pieces(pieces)
     text = "▁the" * 300 + "a" * 2000 + "therethe" * 300
