@@ -7,59 +7,79 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidError, NoElementsError, OutOfBoundsError
 from ..plans.schema import last_index, require_same
+from ..sources.shared import stage
 
-#: A slice that ends before this row is a top-k; one beyond it finds its rows by their global index.
+#: A slice that ends before this row is a top-k; one beyond it finds the same rows by their global index.
 TOP_ROWS = 100_000
 
 
-def _ranked(df: DataFrame, order: list[str]) -> DataFrame:
-    """df sorted over range partitions, with the partition and the row's number in it."""
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33).cast("int")).withColumn("_at", F.col("_at").bitwiseAND((1 << 33) - 1))
+def _place(df: DataFrame, name: str) -> int:
+    k = last_index(df, name)
+    if k is None:
+        raise InvalidError(f"no column {name!r}")
+    return k
+
+
+def _ranked(df: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
+    """df under inner names, sorted over range partitions, with the partition and the row's number in it; and those names.
+
+    It is written once: ranges are drawn from a sample, so a second run of the same plan may part the rows elsewhere.
+    """
+    inner = [f"_{k}" for k in range(len(df.columns))]
+    keys = [inner[_place(df, c)] for c in order]
+    rows = df.toDF(*inner).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    at = F.monotonically_increasing_id()
+    return stage(rows.select(*inner, F.shiftright(at, 33).cast("int").alias("_part"), at.bitwiseAND((1 << 33) - 1).alias("_at")), "ranked"), inner
 
 
 def _before(parts: DataFrame, amount: str) -> DataFrame:
     """(_part, _before): what the partitions before each hold; a row for each partition."""
-    from pyspark.sql import Window
-
     # one short row for each partition, whatever the data
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    return F.broadcast(parts.select("_part", F.coalesce(F.sum(amount).over(w), F.lit(0).cast("long")).alias("_before")))
+    return F.broadcast(parts.select("_part", F.sum(amount).over(w).alias("_before")))
+
+
+def _named(df: DataFrame, rows: DataFrame, inner: list[str], more: Column, name: str) -> DataFrame:
+    return rows.select(*(F.col(a).alias(b) for a, b in zip(inner, df.columns, strict=True)), more.alias(name))
 
 
 def with_index(df: DataFrame, order: list[str]) -> DataFrame:
     """df with row_index, the row's place from 0 in the order, without gathering rows in one task.
 
-    Rows are dealt out by ranges; a partition's first index is the number of rows in the ones before it.
+    Rows are dealt out by ranges and written; a partition's first index is the number of rows in the ones before it.
     """
-    rows = _ranked(df, order)
+    rows, inner = _ranked(df, order)
     starts = _before(rows.groupBy("_part").agg(F.count("*").alias("n")), "n")
-    return rows.join(starts, "_part").withColumn("row_index", F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    return _named(df, rows.join(starts, "_part", "left"), inner, F.coalesce("_before", F.lit(0).cast("long")) + F.col("_at"), "row_index")
 
 
 def prefix_sums(df: DataFrame, amount: str, order: list[str]) -> DataFrame:
-    """df with running, the sum of `amount` up to and including each row in the order."""
-    from pyspark.sql import Window
-
-    rows = _ranked(df, order)
-    starts = _before(rows.groupBy("_part").agg(F.sum(amount).alias("n")), "n")
+    """df with running, the sum of `amount` up to and including each row in the order; null until there is an amount."""
+    rows, inner = _ranked(df, order)
+    own = inner[_place(df, amount)]
+    starts = _before(rows.groupBy("_part").agg(F.sum(own).alias("n")), "n")
     w = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(amount).over(w)).join(starts, "_part").withColumn("running", F.col("running") + F.col("_before")).drop("_part", "_at", "_before")
+    rows = rows.withColumn("_sum", F.sum(own).over(w)).join(starts, "_part", "left")
+    running = F.when(F.col("_sum").isNull(), F.col("_before")).when(F.col("_before").isNull(), F.col("_sum")).otherwise(F.col("_before") + F.col("_sum"))
+    return _named(df, rows, inner, running, "running")
 
 
-def slice_rows(df: DataFrame, order: list[str], offset: int, length: int) -> DataFrame:
+def slice_rows(df: DataFrame, order: list[str], offset: int, length: int, top_rows: int = TOP_ROWS) -> DataFrame:
     """`length` rows from `offset` on; a slice of a slice counts from the slice's own start."""
     if offset < 0 or length < 0:
         raise OutOfBoundsError("offset and length are not negative")
-    if offset + length <= TOP_ROWS:
+    if offset + length <= top_rows:
         return df.orderBy(*order).offset(offset).limit(length)
-    return with_index(df, order).where((F.col("row_index") >= offset) & (F.col("row_index") < offset + length)).drop("row_index")
+    rows, inner = _ranked(df, order)
+    starts = _before(rows.groupBy("_part").agg(F.count("*").alias("n")), "n")
+    at = F.coalesce("_before", F.lit(0).cast("long")) + F.col("_at")
+    return rows.join(starts, "_part", "left").where((at >= offset) & (at < offset + length)).select(*inner).toDF(*df.columns)
 
 
 def nth_row(df: DataFrame, order: list[str], index: int) -> DataFrame:

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import posixpath
-import tempfile
 import threading
 import uuid
 from collections.abc import Callable
@@ -21,7 +17,7 @@ from .operators import codec, frame, nested
 from .plans import flightsql, types
 from .plans.schema import violations
 from .plans.types import Field, Type, list_of, struct_of
-from .sources import cdata, flight, ipc
+from .sources import cdata, flight, ipc, shared
 from .streaming import messages
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,27 +54,9 @@ def values_sql(rows: list[tuple], columns: list[str]) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) t({', '.join(columns)})"
 
 
-_made: list[str] = []
-
-
 def exchange_dir(spark: SparkSession) -> str:
-    """A folder for files that are written and read again, below the shared one; removed when the program ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise InvalidError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="columnforge-")
-    if not _made:
-        atexit.register(_clean)
-    _made.append(posixpath.join(base, "columnforge", uuid.uuid4().hex))
-    return _made[-1]
-
-
-def _clean() -> None:
-    for path in _made:
-        store, inner = ipc.open_store(path)
-        with contextlib.suppress(OSError):
-            store.delete_dir(inner)
+    """A folder for files that are written and read again."""
+    return shared.new_path(spark, "exchange")
 
 
 # rows, columns, nulls
@@ -107,6 +85,30 @@ def row_index(spark, sf_dir):
     return frame.with_index(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"])
 
 
+_LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@query(f"SELECT *, row_number() OVER (ORDER BY {', '.join(_LINE_ORDER)}) - 1 AS row_index FROM lineitem")
+def row_index_wide(spark, sf_dir):
+    return frame.with_index(table(spark, sf_dir, "lineitem"), _LINE_ORDER)
+
+
+_DEEP = "(SELECT count(*) * 9 // 10 FROM lineitem)"
+
+
+@query(f"SELECT * EXCLUDE i FROM (SELECT *, row_number() OVER (ORDER BY {', '.join(_LINE_ORDER)}) - 1 AS i FROM lineitem) WHERE i >= {_DEEP} AND i < {_DEEP} + 7")
+def slice_deep(spark, sf_dir):
+    """A slice that begins after nine tenths of the rows, found by the global index."""
+    rows = table(spark, sf_dir, "lineitem")
+    return frame.slice_rows(rows, _LINE_ORDER, rows.count() * 9 // 10, 7, top_rows=0)
+
+
+@query("""SELECT doc_id, text, lang, source, e - coalesce(octet_length(encode(text)), 0) AS "begin", e AS "end"
+FROM (SELECT *, sum(coalesce(octet_length(encode(text)), 0)) OVER (ORDER BY doc_id)::BIGINT AS e FROM documents)""")
+def offsets_wide(spark, sf_dir):
+    return layout.offsets(table(spark, sf_dir, "documents"), F.octet_length("text"), ["doc_id"], "doc_id", "text", "lang", "source")
+
+
 @query("SELECT o_orderkey, o_custkey FROM (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i IN (0, 5000, 9999)")
 def chunked_access(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")

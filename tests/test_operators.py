@@ -179,3 +179,34 @@ def test_codec(spark):
     assert codec.decode_map(pairs, ["o"]).collect() == [(1, "new")]
     with pytest.raises(InvalidError):
         codec.decode_map(pairs)
+
+
+@pytest.mark.parametrize("partitions", [8, 200])
+def test_positions_of_wide_tables(spark, partitions):
+    """All columns kept, at sf0.1, with small partitions coalesced at run time: each row once, at its place."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        lines = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+        order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+        n = lines.count()
+        got = frame.with_index(lines, order)
+        top = got.agg(F.count("*"), F.count_distinct("row_index"), F.min("row_index"), F.max("row_index")).first()
+        assert tuple(top) == (n, n, 0, n - 1) and got.drop("row_index").exceptAll(lines).isEmpty()
+        orders = spark.read.parquet("/root/testdata/sf0.1/orders.parquet")
+        assert frame.nth_row(orders, ["o_orderkey"], 130_000).collect() == orders.orderBy("o_orderkey").offset(130_000).limit(1).collect()
+        assert frame.slice_rows(lines, order, 400_000, 5).collect() == lines.orderBy(*order).offset(400_000).limit(5).collect()
+        sums = frame.prefix_sums(orders.withColumn("k", F.col("o_orderkey") % 7), "k", ["o_orderkey"])
+        assert sums.agg(F.count("*"), F.max("running")).first() == orders.agg(F.count("*"), F.sum(F.col("o_orderkey") % 7)).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_positions_of_odd_tables(spark):
+    rows = spark.createDataFrame([(2, None), (1, None), (3, 5), (4, None)], "k int, v int")
+    assert [r.running for r in frame.prefix_sums(rows, "v", ["k"]).orderBy("k").collect()] == [None, None, 5, 5]
+    twice = rows.select("k", F.col("v").alias("k"))
+    assert sorted((r[1] is None, r[2]) for r in frame.with_index(twice, ["k"]).collect())[0] == (False, 3)
+    assert frame.with_index(rows.limit(0), ["k"]).count() == 0 and frame.slice_rows(rows, ["k"], 9, 2, top_rows=0).count() == 0
+    with pytest.raises(InvalidError):
+        frame.with_index(rows, ["nope"])
