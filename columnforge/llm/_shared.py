@@ -1,35 +1,12 @@
-"""Files in the folder that driver and executors share."""
+"""Files in the shared folder, and the size of Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.shared import new_path, remove, shared_dir, stage
 
-_made: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only in local mode, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not hasattr(shared_dir, "own"):
-        shared_dir.own = "file://" + tempfile.mkdtemp(prefix="columnforge-")
-    return shared_dir.own
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder; removed when the program ends."""
-    path = f"{shared_dir(spark)}/columnforge/{uuid.uuid4().hex}-{name}"
-    if not _made:
-        atexit.register(_clean)
-    _made.append(path)
-    return path
+__all__ = ["new_path", "remove", "shared_dir", "small_batches", "stage"]
 
 
 def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
@@ -38,24 +15,3 @@ def small_batches(spark: SparkSession, limit: int = 8 << 20) -> None:
     now = spark.conf.get(key)
     if not now.rstrip("bB").isdigit() or not 0 < int(now.rstrip("bB")) <= limit:
         spark.conf.set(key, str(limit))
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _clean() -> None:
-    spark = SparkSession.getActiveSession()
-    for path in _made if spark else ():
-        try:
-            remove(spark, path)
-        except Exception:  # the JVM may be gone already
-            return
