@@ -69,31 +69,34 @@ WITH d AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents
 ), l AS (
   SELECT doc_id, unnest(range(0, len(l))) AS pos, unnest(l) AS line FROM d
+), raw AS (
+  SELECT doc_id, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS raw FROM l
+), m AS (
+  SELECT *, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS m FROM raw WHERE len(raw) > 0
 ), t AS (
-  SELECT doc_id, pos, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS tok FROM l
-), words AS (
-  SELECT doc_id, sum(len(tok)) AS words FROM t GROUP BY doc_id
+  SELECT doc_id, pos, CASE WHEN len(list_filter(m, lambda x: x <> '<*>')) = 0 THEN raw ELSE m END AS tok FROM m
 ), lines AS (
-  SELECT doc_id, pos, tok, len(tok) AS n, array_to_string(tok[1:3], ' ') AS head, array_to_string(tok, ' ') AS masked FROM t WHERE len(tok) >= 6
+  SELECT doc_id, pos, tok, len(tok) AS n, array_to_string(tok, ' ') AS masked FROM t
 ), seen AS (
-  SELECT n, head, masked, md5(masked) AS m, any_value(tok) AS tok, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM lines GROUP BY n, head, masked
+  SELECT masked, left(md5(masked), 15) AS m, any_value(tok) AS tok, any_value(n) AS n, min(doc_id) AS low, max(doc_id) AS high FROM lines GROUP BY masked
+), leaves AS (
+  SELECT n, array_to_string(tok[1:3], ' ') AS head, list({'m': m, 'tok': tok} ORDER BY m) AS l FROM seen WHERE n >= 6 GROUP BY ALL HAVING count(*) > 1
 ), seeds AS (
-  SELECT n, head, min(m) AS sm, arg_min(masked, m) AS seed, arg_min(tok, m) AS stok FROM (SELECT *, max(docs) OVER (PARTITION BY n, head) AS top FROM seen) WHERE docs = top GROUP BY n, head
+  SELECT n, l, list_reduce(list_transform(l, lambda x: [x]), lambda acc, y: CASE WHEN len(list_filter(acc, lambda s:
+           100 * list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN s.tok[i] = y[1].tok[i] THEN 1 ELSE 0 END)) >= 75 * n)) > 0 THEN acc ELSE list_concat(acc, y) END) AS seeds
+  FROM leaves
+), each AS (
+  SELECT n, unnest(l) AS x, seeds FROM seeds
+), into_ AS (
+  SELECT x.m AS m, list_filter(seeds, lambda s: 100 * list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN s.tok[i] = x.tok[i] THEN 1 ELSE 0 END)) >= 75 * n)[1].m AS seed FROM each
 ), final AS (
-  SELECT seen.n, seen.head, masked, docs, first,
-         CASE WHEN list_sum(list_transform(range(1, seen.n + 1), lambda i: CASE WHEN tok[i] = stok[i] THEN 1 ELSE 0 END)) >= 0.75 * seen.n THEN seed ELSE masked END AS template
-  FROM seen JOIN seeds USING (n, head)
+  SELECT masked, coalesce(seed, m) AS g, low, high FROM seen LEFT JOIN into_ USING (m)
 ), groups AS (
-  SELECT n, head, template, sum(docs) AS docs, min(first) AS first FROM final GROUP BY n, head, template HAVING sum(docs) >= 2
-), found AS (
-  SELECT doc_id, pos, lines.n, groups.first FROM lines JOIN final USING (n, head, masked) JOIN groups USING (n, head, template)
-), shares AS (
-  SELECT doc_id, first, count(*) AS k, sum(n) AS n FROM found GROUP BY doc_id, first
+  SELECT g, min(low) AS first FROM final GROUP BY g HAVING min(low) <> max(high)
 ), made AS (
-  SELECT doc_id, sum(k) AS n_recurring, min(CASE WHEN first <> doc_id AND n >= 0.5 * words THEN first END) AS copy_of, sum(CASE WHEN first <> doc_id THEN k ELSE 0 END) AS dropped
-  FROM shares JOIN words USING (doc_id) GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_recurring, count(*) FILTER (doc_id <> first) AS n_dropped FROM lines JOIN final USING (masked) JOIN groups USING (g) GROUP BY doc_id
 )
-SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(n_recurring, 0)::BIGINT AS n_recurring, (CASE WHEN copy_of IS NULL THEN coalesce(dropped, 0) ELSE 0 END)::BIGINT AS n_dropped, copy_of
+SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(n_recurring, 0)::BIGINT AS n_recurring, coalesce(n_dropped, 0)::BIGINT AS n_dropped
 FROM d LEFT JOIN made USING (doc_id)
 """
 
