@@ -255,12 +255,11 @@ def test_copies_that_near_dedup_would_not_find_lose_lines(make):
 # Kneser-Ney
 
 
-def brute_model(texts, alphabet):
-    """Probabilities of the interpolated model, by dictionaries."""
-    code = {c: 2 + k for k, c in enumerate(alphabet)}
+def brute_model(texts, symbols):
+    """-ln p of texts under the interpolated model of some texts, by dictionaries; `symbols` is one more than the characters known."""
     grams = {}
     for t in texts:
-        s = [0, 0, 0] + [code.get(c, 1) for c in t]
+        s = [None] * 3 + list(t)
         for k in range(3, len(s)):
             g = tuple(s[k - 3 : k + 1])
             grams[g] = grams.get(g, 0) + 1
@@ -275,7 +274,7 @@ def brute_model(texts, alphabet):
     for counts in orders:
         n = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-        d = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), float(k)) if n[k - 1] and n[k] else min(0.5 * k, 1.0) for k in (1, 2, 3)]
+        d = [min(max(k - (k + 1) * y * n[k] / n[k - 1], kneser_ney.LEAST), float(k)) if n[k - 1] and n[k] else min(0.5 * k, 1.0) for k in (1, 2, 3)]
         total, held = {}, {}
         for g, c in counts.items():
             total[g[:-1]] = total.get(g[:-1], 0) + c
@@ -283,7 +282,7 @@ def brute_model(texts, alphabet):
         stats.append((counts, d, total, held))
 
     def p(gram):
-        out = 1 / (kneser_ney.SYMBOLS - 1)
+        out = 1 / symbols
         for k, (counts, d, total, held) in enumerate(stats, 1):
             g = gram[-k:]
             if g[:-1] in total:
@@ -292,25 +291,61 @@ def brute_model(texts, alphabet):
         return out
 
     def nll(text):
-        s = [0, 0, 0] + [code.get(c, 1) for c in text]
+        s = [None] * 3 + list(text)
         return -sum(math.log(p(tuple(s[k - 3 : k + 1]))) for k in range(3, len(s)))
 
     return nll
 
 
-def test_perplexity_equals_brute_force(spark, make):
+def brute_scores(train, tried):
+    """Of each tried text -ln p by the model of the half of the training texts that it is not in."""
+    symbols = len(set("".join(train))) + 1
+    halves = [[t for t in train if signed(t) % 2 == h] for h in (0, 1)]
+    models = [brute_model(h if all(halves) else train, symbols) for h in halves]
+    return [models[1 - signed(t) % 2](t) if t else 0.0 for t in tried]
+
+
+def test_perplexity_equals_brute_force(spark, make, monkeypatch):
+    """Many scripts, short steps, several blocks; a text longer than a step."""
+    monkeypatch.setattr(kneser_ney, "STEP", 50)
+    monkeypatch.setattr(kneser_ney, "HELD", 200)
+    monkeypatch.setattr(kneser_ney, "BLOCK_ROWS", 7)
     rng = random.Random(8)
-    texts = [words(rng, 60, "abcde") for _ in range(30)] + ["é🙂漢", "", "a"]
-    model = kneser_ney.train(make(texts))
-    letters = sorted(set("".join(texts)), key=lambda c: (-sum(t.count(c) for t in texts), c))[: kneser_ney.SYMBOLS - 2]
-    nll = brute_model(texts, letters)
-    tried = [*texts, "zzz", "abc\0 d", None]
-    got = kneser_ney.score(make(tried), model).orderBy("doc_id").collect()
-    assert [r._nll for r in got] == pytest.approx([nll(t or "") for t in tried], rel=1e-4, abs=1e-4)
-    assert [r._chars for r in got] == [len(t or "") for t in tried]
-    # after any context the symbols' probabilities sum to one
-    sums = np.exp(-model.log.astype(np.float64)).reshape(-1, kneser_ney.SYMBOLS).sum(axis=1)
-    assert sums == pytest.approx(1 + 1 / (kneser_ney.SYMBOLS - 1), abs=0.02) or (np.abs(sums - 1) < 0.05).mean() > 0.9
+    texts = [words(rng, 60, a) for a in ("abcde", "абвгде", "αβγδ", "कखगघ", "漢字仮名交文") for _ in range(8)] + ["é🙂漢", "", "a", "\0\0"]
+    tried = [*texts, "zzz", "abc\0 d", None, "漢漢漢z"]
+    for train in (texts, ["abc"]):
+        model = kneser_ney.model_of(_shared.stage(kneser_ney.counts_of(make(train)), "grams"))
+        got = {r.doc_id: r for r in kneser_ney.score(make(tried), model).collect()}
+        assert [got[k]._nll for k in range(len(tried))] == pytest.approx(brute_scores(train, tried), rel=1e-4, abs=1e-4)
+        assert [got[k]._chars for k in range(len(tried))] == [len(t or "") for t in tried]
+    assert kneser_ney.model_of(_shared.stage(kneser_ney.counts_of(make([])), "grams")) is None
+
+
+def test_verdicts_equal_brute_force(spark, make):
+    """Means, quantiles, thresholds and what is kept, for two languages and one without trusted text."""
+    rng = random.Random(18)
+    rows = [(k, words(rng, rng.randrange(2, 40), "abcdef" if k % 3 else "uvwxyz"), ("en", None, "de", "xx")[k % 3 if k < 110 else 3], "s") for k in range(120)]
+    rows += [(200, "".join(rng.choice("qjk#%&") for _ in range(300)), "en", "s"), (201, "", "en", "s")]
+    labels = [(k, int(k % 5 > 0), int(k % 7 == 0)) for k in range(0, 110)] + [(3, 0, 0)]
+    good = {k for k, q, t in labels if q and not t} - {3}
+    scores = brute_scores([t for d, t, *_ in rows if d in good], [t for _, t, *_ in rows])
+    by = {}
+    for (d, t, lang, _), nll in zip(rows, scores, strict=True):
+        if d in good and t:
+            by.setdefault(lang, []).append((nll, len(t)))
+    mean = {k: sum(a for a, _ in v) / sum(n for _, n in v) for k, v in by.items()}
+    drawn = lambda nll, n, m: (nll + kneser_ney.PSEUDO * m) / (n + kneser_ney.PSEUDO)
+    low = lambda v: sorted(v)[max(0, math.ceil(kneser_ney.QUANTILE * len(v)) - 1)]
+    over = {k: [drawn(a, n, mean[k]) - mean[k] for a, n in v] for k, v in by.items()}
+    whole = low([x for v in over.values() for x in v])
+    cut = {k: math.exp(mean[k] + (len(v) * low(v) + kneser_ney.SHRINK * whole) / (len(v) + kneser_ney.SHRINK)) * kneser_ney.MARGIN for k, v in over.items()}
+    got = {r.doc_id: r for r in kneser_ney.classify(make(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).select("doc_id", "perplexity", "threshold", kneser_ney.F.col("drawn")).collect()}
+    for (d, t, lang, _), nll in zip(rows, scores, strict=True):
+        assert got[d].threshold == (pytest.approx(cut[lang], rel=1e-3) if lang in cut else None)
+        assert got[d].perplexity == (pytest.approx(math.exp(nll / len(t)), rel=1e-3) if t else None)
+    kept = {r.doc_id for r in kneser_ney.accepted(make(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    clear = {d: math.exp(drawn(nll, len(t), mean[lang])) / cut[lang] for (d, t, lang, _), nll in zip(rows, scores, strict=True) if t and lang in cut}
+    assert all((d in kept) == (clear.get(d, 0) <= 1) for d, *_ in rows if abs(clear.get(d, 0) - 1) > 1e-3) and 200 not in kept and len(kept) > 100
 
 
 def test_classifier(spark):
@@ -348,7 +383,7 @@ def test_languages_without_trusted_text_are_kept(spark, make):
 def test_one_more_label_moves_a_threshold_little(spark):
     rng = random.Random(15)
     rows = [("en", 1000 * rng.gauss(2, 0.1), 1000) for _ in range(500)] + [("de", 1000 * rng.gauss(3, 0.1), 1000) for _ in range(30)]
-    cut = [kneser_ney.thresholds(spark.createDataFrame(rows[: 500 + n], "lang string, _nll double, _chars long"))["de"][1] for n in (3, 19, 20, 21)]
+    cut = [kneser_ney.thresholds(spark.createDataFrame(rows[: 500 + n], "lang string, _nll double, _chars long")).where("language = 'de'").first().threshold for n in (3, 19, 20, 21)]
     assert all(math.exp(3) < c < math.exp(3.5) for c in cut) and max(cut[1:]) / min(cut[1:]) < 1.05
 
 
