@@ -1,12 +1,18 @@
 """Benchmark decontamination by a positional inverted index over the training documents.
 
-The index is sharded by document: each task holds the postings (term, position) of a chunk of its own
-documents for the terms that test items use, so no posting is shuffled. A phrase query starts at the
-posting list of its rarest term in the shard, shifts it by the term's offset, and intersects it with the
-next rarest ones. A proximity query asks for all terms of a phrase, in any order, within a span of words.
+The index is written to the shared folder and sharded by document: a row holds some SHARD bytes of text as its terms
+(64-bit hashes of words, ascending), how often each occurs, and the positions of each, ascending and as gaps. Building it moves no
+posting between tasks; any number of sets of test items are then searched for without the texts.
+
+The counts of the test items' terms are summed over all shards. A phrase query starts at the posting list of the term that is
+the rarest in the whole corpus, shifts it by the term's offset, and intersects it with the next rarest ones. A proximity
+query starts there too and asks for all different terms of a window, in any order, within SPAN consecutive words.
+
+Test items are a query set: they go to the tasks in blocks of at most BLOCK_BYTES bytes, each block as arrays, its windows as places in
+one array of terms. More blocks are more passes over the index.
 
 Defined cases: null text has no words; an empty table gives no rows; an item without words is left out; an
-item with a null id still marks words but is not listed; repeated ids are listed once; other columns of
+item with a null id still marks words but is not listed; repeated ids are listed once; repeated rows are answered each; other columns of
 the documents are ignored.
 """
 
@@ -16,173 +22,286 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import stage
-from ._text import IN_TERM, LOWER, chunks, ranges, text_bytes, word_hashes, words
+from ._text import IN_TERM, LOWER, U64, chunks, mix, ranges, text_bytes, word_hashes, words
 
 WINDOW = 10
+SPAN = 20
+#: Bytes of text in a shard of the index, or one document.
+SHARD = 8 << 20
 #: Most bytes of test items sent to all tasks at once; more go in blocks of this size.
 BLOCK_BYTES = 32 << 20
-SCHEMA = "doc_id long, key string, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+#: Candidates, and windows, that are looked at together.
+LIMIT = 1 << 20
+INDEX = "shard long, doc_id array<long>, h array<long>, words binary, terms binary, counts binary, gaps binary"
+SCHEMA = "shard long, place int, doc_id long, h long, n_words long, n_hit long, items array<string>, near array<string>, spans array<struct<start:long,end:long>>"
 
 
-class Phrases:
-    """The windows of a block of test items as term ids, and the items of each window."""
-
-    def __init__(self, items: list[tuple[str | None, str]], window: int) -> None:
-        buf, at = text_bytes(pa.array([t for _, t in items], pa.large_string()))
-        buf = LOWER[buf]
-        starts, ends, ptr = words(buf, at, IN_TERM)
-        self.terms, ids = np.unique(word_hashes(buf, starts, ends), return_inverse=True)
-        self.ids = sorted({i for i, _ in items if i is not None})
-        number = {x: k for k, x in enumerate(self.ids)}
-        rows: dict[int, dict[bytes, set[int]]] = {}
-        ids = ids.astype(np.int32)
-        for k, (name, _) in enumerate(items):
-            own = ids[ptr[k] : ptr[k + 1]]
-            m = min(window, len(own))
-            for i in range(len(own) - m + 1 if m else 0):
-                rows.setdefault(m, {}).setdefault(own[i : i + m].tobytes(), set()).update(() if name is None else (number[name],))
-        self.groups = []
-        for m, found in sorted(rows.items()):
-            owners = [sorted(x) for x in found.values()]
-            counts = np.array([len(x) for x in owners], np.int64)
-            self.groups.append((m, np.frombuffer(b"".join(found), np.int32).reshape(-1, m), np.concatenate(([0], np.cumsum(counts))), np.array([y for x in owners for y in x], np.int64)))
+def _terms(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, and n + 1 offsets."""
+    buf, at = text_bytes(text)
+    buf = LOWER[buf]
+    starts, ends, ptr = words(buf, at, IN_TERM)
+    return word_hashes(buf, starts, ends), ptr
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _joined(batches):
+        hashes, ptr = _terms(part.column("text"))
+        terms, code, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        postings = np.argsort(code, kind="stable")
+        gaps = np.diff(postings, prepend=0)
+        first = (np.cumsum(counts) - counts)[: len(terms)]
+        gaps[first] = postings[first]  # each list begins with a position
+        name = int(mix(np.array([hashes.sum(dtype=U64) + U64(part.num_rows)], U64)).view(np.int64)[0])
+        lists = [pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(c)) for c in ("doc_id", "h")]
+        data = (np.diff(ptr).astype(np.uint32), terms, counts.astype(np.uint32), gaps.astype(np.uint32))
+        yield pa.RecordBatch.from_arrays([pa.array([name]), *lists, *(pa.array([x.tobytes()], pa.binary()) for x in data)], ["shard", "doc_id", "h", "words", "terms", "counts", "gaps"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with about SHARD bytes of text, or one."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for part in chunks(batches, "text", SHARD):
+        own = int(text_bytes(part.column("text"))[1][-1])
+        if held and size + own > SHARD:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(part)
+        size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
+def build_index(docs: DataFrame) -> DataFrame:
+    """The index of the documents (doc_id, text), a row for each shard, written to the shared folder."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    return stage(rows.mapInArrow(_indexed, INDEX), "index")
 
 
 class Shard:
-    """Postings of a chunk of documents."""
-
-    def __init__(self, text: pa.Array, terms: np.ndarray) -> None:
-        buf, at = text_bytes(text)
-        buf = LOWER[buf]
-        starts, ends, self.ptr = words(buf, at, IN_TERM)
-        self.term = np.full(len(starts), -1, np.int32)
-        if len(terms) and len(starts):
-            hashes = word_hashes(buf, starts, ends)
-            place = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
-            same = terms[place] == hashes
-            self.term[same] = place[same]
-        self.doc = np.repeat(np.arange(len(at) - 1), np.diff(self.ptr))
-        held = np.flatnonzero(self.term >= 0)
-        self.postings = held[np.argsort(self.term[held], kind="stable")]
-        self.count = np.bincount(self.term[held], minlength=len(terms))
+    """An open shard: words of the shard are numbered through all of its documents."""
+
+    def __init__(self, row: dict) -> None:
+        size = np.frombuffer(row["words"], np.uint32).astype(np.int64)
+        self.name, self.doc_id, self.h = row["shard"], row["doc_id"], row["h"]
+        self.ptr = np.concatenate(([0], np.cumsum(size)))
+        self.doc = np.repeat(np.arange(len(size)), size)
+        self.terms = np.frombuffer(row["terms"], np.uint64)
+        self.count = np.frombuffer(row["counts"], np.uint32).astype(np.int64)
         self.begin = np.concatenate(([0], np.cumsum(self.count)))
+        gaps = np.frombuffer(row["gaps"], np.uint32).astype(np.int64)
+        sums = np.cumsum(gaps)
+        before = np.where(self.begin[:-1] > 0, sums[self.begin[:-1] - 1], 0) if len(gaps) else np.zeros(0, np.int64)
+        self.postings = sums - np.repeat(before, self.count)
+        self.term = np.empty(len(gaps), np.int32)
+        self.term[self.postings] = np.repeat(np.arange(len(self.terms)), self.count)
+        #: Postings as term and position in one number, ascending.
+        self.keys = np.repeat(np.arange(len(self.terms)) << 32, self.count) | self.postings
 
-    def phrases(self, windows: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window, first word) of each occurrence, in blocks of about `limit` candidates."""
-        m, n = windows.shape[1], len(self.term)
-        have = self.count[windows]
-        live = np.flatnonzero(have.min(axis=1) > 0)
-        order = np.argsort(have[live], axis=1, kind="stable")
-        rare = windows[live, order[:, 0]]
-        total = np.concatenate(([0], np.cumsum(self.count[rare])))
+    def numbers(self, terms: np.ndarray) -> np.ndarray:
+        """This shard's number of each term; -1: none."""
+        if not len(self.terms):
+            return np.full(len(terms), -1)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[at] == terms, at, -1)
+
+    def candidates(self, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """In blocks of about LIMIT: (row, position) of each posting of the first term of each row of `own`."""
+        total = np.concatenate(([0], np.cumsum(self.count[own[:, 0]])))
         first = 0
-        while first < len(live):
-            last = max(first + 1, int(np.searchsorted(total, total[first] + limit, "right")) - 1)
-            counts = self.count[rare[first:last]]
-            which = np.repeat(np.arange(first, last), counts)
-            at = self.postings[ranges(self.begin[rare[first:last]], counts)] - order[which, 0]
+        while first < len(own):
+            last = max(first + 1, int(np.searchsorted(total, total[first] + LIMIT, "right")) - 1)
+            rare = own[first:last, 0]
+            yield np.repeat(np.arange(first, last), self.count[rare]), self.postings[ranges(self.begin[rare], self.count[rare])]
+            first = last
+
+    def phrases(self, own: np.ndarray, offset: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, first word) of each occurrence of the terms `own` of a row, rarest first, at the offsets of theirs."""
+        m, n = own.shape[1], len(self.term)
+        for which, at in self.candidates(own):
+            at = at - offset[which, 0]
             ok = (at >= 0) & (at + m <= n)
             which, at = which[ok], at[ok]
             for k in range(1, m):
-                off = order[which, k]
-                ok = self.term[at + off] == windows[live[which], off]
+                ok = self.term[at + offset[which, k]] == own[which, k]
                 which, at = which[ok], at[ok]
             ok = self.doc[at] == self.doc[at + m - 1]
-            yield live[which[ok]], at[ok]
-            first = last
+            yield which[ok], at[ok]
+
+    def _next(self, term: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The first position of each term from `at` on; beyond all words if there is none."""
+        place = np.minimum(np.searchsorted(self.keys, (term.astype(np.int64) << 32) | at), len(self.keys) - 1)
+        found = self.keys[place]
+        return np.where((found >> 32 == term) & ((found & 0xFFFFFFFF) >= at), found & 0xFFFFFFFF, len(self.term) + (1 << 31))
 
-    def near(self, wanted: np.ndarray, span: int) -> np.ndarray:
-        """Positions of the rarest wanted term around which all wanted terms lie within `span` words."""
-        wanted = np.unique(wanted)
-        if not len(wanted) or self.count[wanted].min() == 0:
-            return np.zeros(0, np.int64)
-        wanted = wanted[np.argsort(self.count[wanted], kind="stable")]
-        lists = [np.sort(self.postings[self.begin[t] : self.begin[t + 1]]) for t in wanted]
-        found = []
-        for at in lists[0]:  # the rarest list is short
-            low, high = max(self.ptr[self.doc[at]], at - span + 1), min(self.ptr[self.doc[at] + 1], at + span)
-            have = {0: int(at)}
-            for p, k in [(int(at), 0), *sorted((int(p), k) for k, x in enumerate(lists) if k for p in x[np.searchsorted(x, low) : np.searchsorted(x, high)])]:
-                have[k] = p
-                if len(have) == len(lists) and max(p, at) - min(have.values()) < span:
-                    found.append(int(at))
-                    break
-        return np.unique(np.array(found, np.int64))
-
-
-def _scan(batches: Iterator[pa.RecordBatch], phrases: Phrases) -> Iterator[pa.RecordBatch]:
-    names = np.array(phrases.ids, object)
-    for part in chunks(batches, "text"):
-        shard = Shard(part.column("text"), phrases.terms)
-        n = part.num_rows
-        cover, pairs = np.zeros(len(shard.term) + 1, np.int64), []
-        for m, windows, owner_at, owners in phrases.groups:
-            for which, at in shard.phrases(windows):
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + m, -1)
-                many = owner_at[which + 1] - owner_at[which]
-                pairs.append(np.stack([np.repeat(shard.doc[at], many), owners[ranges(owner_at[which], many)]], axis=1))
-        hit = np.cumsum(cover)[:-1] > 0
-        sums = np.concatenate(([0], np.cumsum(hit)))
-        pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
-        per = np.concatenate(([0], np.cumsum(np.bincount(pairs[:, 0], minlength=n)))).astype(np.int32)
-        items = pa.ListArray.from_arrays(pa.array(per), pa.array(names[pairs[:, 1]], pa.string()))
-        edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
-        inner = shard.ptr[1:-1]
-        inner = inner[(inner > 0) & (inner < len(hit))]
-        cut = inner[hit[inner] & hit[inner - 1]] if len(hit) else inner  # a run never spans two documents
-        cut = np.unique(cut)
-        begins = np.sort(np.concatenate((np.flatnonzero(edge == 1), cut)))
-        ends = np.sort(np.concatenate((np.flatnonzero(edge == -1), cut)))
-        run = shard.doc[begins]
-        per = np.concatenate(([0], np.cumsum(np.bincount(run, minlength=n)))).astype(np.int32)
-        spans = pa.StructArray.from_arrays([pa.array(begins - shard.ptr[run]), pa.array(ends - shard.ptr[run])], ["start", "end"])
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("key"), pa.array(np.diff(shard.ptr)), pa.array(sums[shard.ptr[1:]] - sums[shard.ptr[:-1]]), items, pa.ListArray.from_arrays(pa.array(per), spans)],
-            ["doc_id", "key", "n_words", "n_hit", "items", "spans"],
-        )
-
-
-def _blocks(benchmark: DataFrame, limit: int) -> Iterator[tuple[list[tuple[str | None, str]], bool]]:
-    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
+    def near(self, own: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, position of its rarest term) wherever all terms `own` of a row lie within `span` words."""
+        for which, at in self.candidates(own):
+            for k in range(1, own.shape[1]):
+                doc = self.doc[at]
+                ok = self._next(own[which, k], np.maximum(at - span + 1, self.ptr[doc])) <= np.minimum(at + span, self.ptr[doc + 1]) - 1
+                which, at = which[ok], at[ok]
+            doc = self.doc[at]
+            hit = np.zeros(len(at), bool)
+            for back in range(span if own.shape[1] > 1 else 1):
+                left = np.flatnonzero(~hit & (at - back >= self.ptr[doc]))
+                begin = at[left] - back
+                for k in range(1, own.shape[1]):
+                    ok = self._next(own[which[left], k], begin) <= np.minimum(begin + span, self.ptr[doc[left] + 1]) - 1
+                    left, begin = left[ok], begin[ok]
+                hit[left] = True
+            yield which[hit], at[hit]
+
+
+class Phrases:
+    """The windows of a block of test items: places in one array of term numbers, and the items of each window."""
+
+    def __init__(self, items: pa.Table, window: int) -> None:
+        names = items.column(0).combine_chunks().cast(pa.string())
+        hashes, ptr = _terms(items.column(1).combine_chunks())
+        self.terms, ids = np.unique(hashes, return_inverse=True)
+        self.term = ids.astype(np.int32)
+        self.counts = np.zeros(len(self.terms), np.int64)
+        del hashes, ids
+        self.ids = pc.sort_indices(found := pc.unique(names.drop_null()))
+        self.ids = found.take(self.ids)
+        number = pc.fill_null(pc.index_in(names, self.ids), -1).to_numpy().astype(np.int64)
+        size = np.diff(ptr)
+        self.groups: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        for m in np.unique(np.minimum(size[size > 0], window)).tolist():
+            own = np.flatnonzero((size == m) if m < window else (size >= window))
+            many = size[own] - m + 1
+            start, owner = ranges(ptr[own], many).astype(np.int32), np.repeat(number[own].astype(np.int32), many)
+            marks = np.zeros((2, len(start)), U64)
+            with np.errstate(over="ignore"):
+                for j in range(m):
+                    value = self.term[start + j].astype(U64) + U64(1)
+                    for h, by in zip(marks, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), strict=True):
+                        h *= U64(by)
+                        h += value
+                        h[:] = mix(h)
+                    del value
+            order = np.lexsort((owner, *marks))  # equal windows, of 128 equal bits, side by side
+            for h in marks:
+                h[:] = h[order]
+            owner = owner[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (marks[:, 1:] != marks[:, :-1]).any(axis=0)
+            keep = owner >= 0
+            keep[1:] &= new[1:] | (owner[1:] != owner[:-1])
+            which = np.cumsum(new) - 1
+            at = np.concatenate(([0], np.cumsum(np.bincount(which[keep], minlength=int(new.sum())))))
+            self.groups.append((m, start[order][new].astype(np.int64), at, owner[keep]))
+
+    def live(self, shard: Shard) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of the windows whose terms the shard has: length, offsets from the rarest term on, the shard's term numbers in that order, and the windows' items."""
+        number = shard.numbers(self.terms)
+        for m, start, at, owner in self.groups:
+            for first in range(0, len(start), LIMIT // 4):
+                own = np.arange(first, min(first + LIMIT // 4, len(start)))
+                for j in range(m):
+                    own = own[number[self.term[start[own] + j]] >= 0]
+                if not len(own):
+                    continue
+                ids = self.term[start[own][:, None] + np.arange(m)]
+                offset = np.lexsort((ids, self.counts[ids]), axis=1)
+                yield m, offset, number[np.take_along_axis(ids, offset, 1)], own, at, owner
+
+
+def _count(batches: Iterator[pa.RecordBatch], terms: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            own, count = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["counts"], np.uint32)
+            _, a, b = np.intersect1d(own, terms, assume_unique=True, return_indices=True)
+            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(count[a].astype(np.int64))], ["term", "n"])
+
+
+def _pairs(found: list[np.ndarray], n: int, ids: pa.Array) -> pa.ListArray:
+    """Lists of item ids of each document, from pairs (document, item)."""
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+    per = np.concatenate(([0], np.cumsum(np.bincount(pairs[0], minlength=n)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(per), ids.take(pa.array(pairs[1])))
+
+
+def _search(batches: Iterator[pa.RecordBatch], phrases: Phrases, span: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            shard = Shard(row)
+            n, cover = len(shard.doc_id), np.zeros(len(shard.term) + 1, np.int64)
+            exact: list[np.ndarray] = []
+            near: list[np.ndarray] = []
+
+            def owners(which: np.ndarray, at: np.ndarray, own: np.ndarray, begin: np.ndarray, owner: np.ndarray, shard: Shard = shard) -> np.ndarray:
+                window = own[which]
+                many = begin[window + 1] - begin[window]
+                return np.stack([np.repeat(shard.doc[at], many), owner[ranges(begin[window], many)].astype(np.int64)])
+
+            for m, offset, terms, own, begin, owner in phrases.live(shard):
+                for which, at in shard.phrases(terms, offset):
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + m, -1)
+                    exact.append(owners(which, at, own, begin, owner))
+                for which, at in shard.near(terms, span):
+                    near.append(owners(which, at, own, begin, owner))
+            hit = np.cumsum(cover)[:-1] > 0
+            sums = np.concatenate(([0], np.cumsum(hit)))
+            edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
+            inner = shard.ptr[1:-1]
+            inner = inner[(inner > 0) & (inner < len(hit))]
+            cut = np.unique(inner[hit[inner] & hit[inner - 1]]) if len(hit) else inner  # a run never spans two documents
+            begins, ends = np.sort(np.concatenate((np.flatnonzero(edge == 1), cut))), np.sort(np.concatenate((np.flatnonzero(edge == -1), cut)))
+            run = shard.doc[begins] if len(begins) else begins
+            per = np.concatenate(([0], np.cumsum(np.bincount(run, minlength=n)))).astype(np.int32)
+            spans = pa.StructArray.from_arrays([pa.array(begins - shard.ptr[run]), pa.array(ends - shard.ptr[run])], ["start", "end"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([shard.name] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(shard.doc_id, pa.int64()), pa.array(shard.h, pa.int64()), pa.array(np.diff(shard.ptr)),
+                    pa.array(sums[shard.ptr[1:]] - sums[shard.ptr[:-1]]), _pairs(exact, n, phrases.ids), _pairs(near, n, phrases.ids), pa.ListArray.from_arrays(pa.array(per), spans),
+                ],
+                ["shard", "place", "doc_id", "h", "n_words", "n_hit", "items", "near", "spans"],
+            )
+
+
+def _blocks(benchmark: DataFrame, limit: int) -> Iterator[pa.Table]:
+    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // limit))
     for k in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)
-        yield [(r.i, r.t) for r in part.collect()], k == blocks - 1
+        yield (rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)).toArrow()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row per document (doc_id, text): n_words, n_hit, items (ids as sorted strings), spans of hit words.
-
-    Test items are a query set: one block of at most about block_bytes is sent to all tasks; a larger set
-    goes in blocks, and the spans of a document are then united.
-    """
+def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: int = SPAN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row per indexed document: doc_id, h (of its text), n_words, n_hit, items and near (ids as sorted strings), spans of hit words."""
     if window < 1:
         raise ValueError("a window has at least one word")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(F.xxhash64("text"), F.hash("text")).cast("string").alias("key"))
-    columns = ["doc_id", "n_words", "n_hit", "items", "spans"]
-    parts, blocks = None, 0
-    for items, last in _blocks(benchmark, block_bytes):
-        held, blocks = docs.sparkSession.sparkContext.broadcast(Phrases(items, window)), blocks + 1
-        found = docs.mapInArrow(lambda batches, held=held: _scan(batches, held.value), SCHEMA)
-        if last and blocks == 1:
+    columns, context = ["doc_id", "h", "n_words", "n_hit", "items", "near", "spans"], index.sparkSession.sparkContext
+    parts = []
+    blocks = list(_blocks(benchmark, block_bytes)) if benchmark is not None else []
+    for items in blocks:
+        phrases = Phrases(items, window)
+        terms = context.broadcast(phrases.terms)
+        counts = index.select("terms", "counts").mapInArrow(lambda b, terms=terms: _count(b, terms.value), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        phrases.counts[counts["term"].to_numpy()] = counts["n"].to_numpy()
+        terms.destroy()
+        held = context.broadcast(phrases)
+        found = index.mapInArrow(lambda b, held=held: _search(b, held.value, span), SCHEMA)
+        if len(blocks) == 1:
             return found.select(columns)
-        found = stage(found, "contamination")
+        parts.append(stage(found, "contamination"))
         held.destroy()
-        parts = found if parts is None else parts.unionByName(found)
-    # rows of equal id and text have equal results: a group of them, and how many there are
-    whole = parts.groupBy("doc_id", "key", "n_words").agg(
-        (F.count("*") / blocks).cast("int").alias("rows"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("s"),
-    )
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    both = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    whole = whole.groupBy("shard", "place", "doc_id", "h", "n_words").agg(both("items"), both("near"), both("spans"))
     joined = F.aggregate(
-        "s",
+        "spans",
         F.expr("CAST(array() AS ARRAY<STRUCT<start: BIGINT, end: BIGINT>>)"),
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= x["start"]),
@@ -190,30 +309,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         ).otherwise(F.concat(acc, F.array(x))),
     )
     whole = whole.withColumn("spans", joined).withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]))
-    return whole.withColumn("copy", F.explode(F.sequence(F.lit(1), "rows"))).select(columns)
-
-
-def proximity(docs: DataFrame, terms: DataFrame, span: int = 20) -> DataFrame:
-    """(doc_id, item_id, word): documents holding all words of an item, in any order, within `span` words.
-
-    One row for each occurrence of the item's rarest word that such a span includes.
-    """
-    rows = [(str(r.item_id), r.text or "") for r in terms.select("item_id", "text").collect()]
-    phrases = Phrases(rows, 1)
-    wanted = []
-    for name, text in rows:
-        buf, at = text_bytes(pa.array([text], pa.large_string()))
-        buf = LOWER[buf]
-        starts, ends, _ = words(buf, at, IN_TERM)
-        wanted.append((name, np.searchsorted(phrases.terms, word_hashes(buf, starts, ends)).astype(np.int64)))
-    held = docs.sparkSession.sparkContext.broadcast((phrases.terms, wanted))
-
-    def scan(batches):
-        vocabulary, queries = held.value
-        for part in chunks(batches, "text"):
-            shard = Shard(part.column("text"), vocabulary)
-            ids = part.column("doc_id").to_pylist()
-            out = [(ids[shard.doc[p]], name, int(p - shard.ptr[shard.doc[p]])) for name, ts in queries if len(ts) for p in shard.near(ts, span)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64()))], ["doc_id", "item_id", "word"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, item_id string, word long")
+    return whole.select(columns)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: int = SPAN, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row per document (doc_id, text), as `search` gives it."""
+    return search(build_index(docs), benchmark, window, span, block_bytes)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents, all columns, without those that hold a window of a test item; those without an id are told apart by their text."""
+    hit = stage(contamination(docs, benchmark).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "hit")
+    inner = [c if c in ("doc_id", "text") else f"_{k}" for k, c in enumerate(docs.columns)]
+    own = docs.toDF(*inner)
+    left = own.join(hit, own["doc_id"].cast("long").eqNullSafe(hit["_id"]) & F.xxhash64(own["text"].cast("string")).eqNullSafe(hit["_h"]), "left_anti")
+    return left.select(*(F.col(a).alias(b) for a, b in zip(inner, docs.columns, strict=True)))

@@ -131,9 +131,27 @@ dw AS (
   SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS x FROM hits) GROUP BY doc_id
 ), items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+), o AS MATERIALIZED (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS t FROM d
+), counts AS (SELECT t, count(*) AS c FROM o GROUP BY t),
+wt AS (
+  SELECT DISTINCT g, unnest(string_split(g, ' ')) AS t FROM bw
+), rare AS (
+  SELECT g, arg_min(t, (c, t)) AS t, count(*) AS k FROM wt LEFT JOIN counts USING (t) GROUP BY g HAVING count(*) = count(c)
+), pairs AS (
+  SELECT DISTINCT g, k, doc_id FROM rare JOIN (SELECT DISTINCT doc_id, t FROM o) USING (t)
+), full_ AS (
+  SELECT g, k, doc_id FROM pairs JOIN wt USING (g) JOIN (SELECT DISTINCT doc_id, t FROM o) USING (doc_id, t) GROUP BY g, k, doc_id HAVING count(*) = k
+), found AS MATERIALIZED (
+  SELECT g, k, doc_id, p, t FROM full_ JOIN wt USING (g) JOIN o USING (doc_id, t)
+), near AS (
+  SELECT DISTINCT a.g, a.doc_id FROM found a JOIN found b ON a.g = b.g AND a.doc_id = b.doc_id AND b.p >= a.p AND b.p < a.p + 20 GROUP BY a.g, a.doc_id, a.p, a.k HAVING count(DISTINCT b.t) = a.k
+), near_items AS (
+  SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM near JOIN bw USING (g)) GROUP BY doc_id
 )
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN n USING (doc_id) LEFT JOIN items USING (doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items.items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near, 0)::BIGINT AS n_near, sha256(coalesce(near_items.items, '')) AS near_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near_items USING (doc_id)
 """
 
 

@@ -5,8 +5,10 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -421,16 +423,52 @@ def test_contamination_equals_brute_force(spark, make, odd, block_bytes):
     assert {r.n_hit for r in decontaminate.contamination(docs, bench.limit(0)).collect()} == {0}
 
 
-def test_proximity(spark, make):
+def brute_near(text, items, span, window=10):
+    w = TERM.findall((text or "").translate(LOWER))
+    found = set()
+    for name, item in items:
+        own = TERM.findall((item or "").translate(LOWER))
+        m = min(window, len(own))
+        wins = {frozenset(own[i : i + m]) for i in range(len(own) - m + 1)} if m else set()
+        if name is not None and any(x <= set(w[i : i + span]) for x in wins for i in range(len(w))):
+            found.add(str(name))
+    return sorted(found)
+
+
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 40])
+def test_proximity(spark, make, monkeypatch, block_bytes):
+    """All words of a window, in any order, within a span of one document; several shards and small blocks of candidates."""
+    monkeypatch.setattr(decontaminate, "SHARD", 300)
+    monkeypatch.setattr(decontaminate, "LIMIT", 64)
     rng = random.Random(10)
-    texts = [words(rng, 60, "abcd") for _ in range(30)]
-    items = [("p", "a b c"), ("q", "aa b"), ("r", "d")]
-    got = {(r.doc_id, r.item_id) for r in decontaminate.proximity(make(texts), spark.createDataFrame(items, "item_id string, text string"), span=6).collect()}
-    want = set()
-    for k, t in enumerate(texts):
-        w = TERM.findall(t)
-        want |= {(k, n) for n, q in items for i in range(len(w)) if set(q.split()) <= set(w[i : i + 6])}
-    assert got == want
+    texts = [words(rng, 60, "abcd") for _ in range(30)] + ["x y", "z x", "", None]
+    items = [("p", "a b c"), ("q", "aa b"), ("r", "d"), ("s", "a a b"), (None, "c"), ("t", "x y z"), ("u", "a b c d aa bb cc dd ab ba da")]
+    got = decontaminate.contamination(make(texts), spark.createDataFrame(items, "item_id string, text string"), span=6, block_bytes=block_bytes).collect()
+    assert {r.doc_id: (r.near, r["items"]) for r in got} == {k: (brute_near(t, items, 6), [x for x in brute_hits(t, items)[2] if x != "None"]) for k, t in enumerate(texts)}
+
+
+def test_memory_of_test_items():
+    """The arrays of 32 MB of test items need less than 500 MB."""
+    rng = np.random.default_rng(3)
+    lexicon = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(50_000)], object)
+    texts = [" ".join(lexicon[rng.integers(0, len(lexicon), 60)]) for _ in range(90_000)]
+    items = pa.table({"i": pa.array([str(k) for k in range(len(texts))]), "t": pa.array(texts)})
+    assert items["t"].nbytes > 31e6
+    tracemalloc.start()
+    phrases = decontaminate.Phrases(items, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6 and sum(len(g[1]) for g in phrases.groups) > 4_000_000
+
+
+def test_clean_of_rows_without_ids(spark, make):
+    """A contaminated row goes whether it has an id or not; others of equal id stay."""
+    item = "one two three four five six seven eight nine ten eleven"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, f"a {item} b", "en", "s"), (None, "quite another text", "en", "s"), (5, f"{item}", "en", "s"), (5, "kept with the same id", "en", "s"), (6, None, "en", "s")]
+    left = decontaminate.clean(make(rows), bench)
+    assert left.columns == make(rows).columns
+    assert sorted(str(r.text) for r in left.collect()) == ["None", "kept with the same id", "quite another text"]
 
 
 # URLs
