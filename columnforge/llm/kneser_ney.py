@@ -15,8 +15,8 @@ joined with the model's shards, and what is found comes back as one row a block,
 documents are then read a second time, each block with its own row of the model, and their text never moves. Blocks are
 known by file and row, so that both readings have the same; documents that come from no file are written first.
 
-Of the documents' text only that of trusted ones is moved, to be joined with their labels: a Bloom filter of at most
-FILTER_WORDS longs over their ids leaves out most others before; beyond some ten million ids it leaves out fewer, and no result changes.
+Of the documents' text only that of trusted ones is moved, to be joined with their labels: a Bloom
+filter of bounded size over their ids (_filter) leaves out most others before.
 
 The threshold of a language is a quantile of the perplexities of its trusted documents, times a margin. For this a
 document's perplexity is drawn towards the language's mean as by PSEUDO more characters, so that short
@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._filter import Filter
 from ._shared import new_path, stage
 from ._text import chunks
 
@@ -56,7 +57,6 @@ SHRINK = 20
 BLOCK_ROWS = 8192
 #: No discount is less, so that what a small text lacks keeps some probability.
 LEAST = 0.1
-FILTER_WORDS = 1 << 22
 #: Distinct n-grams that a task holds before it puts them out.
 HELD = 1 << 21
 STEP = 1 << 20
@@ -72,18 +72,8 @@ def good_ids(labels: DataFrame) -> DataFrame:
 
 def trusted(docs: DataFrame, good: DataFrame) -> DataFrame:
     """text of the documents (doc_id, text) whose id is in `good`, a written table."""
-    n = good.count()
-    words = min(FILTER_WORDS, 1 << max(6, (n * 16 // 64).bit_length()))
-
-    def marked(rows: DataFrame) -> DataFrame:
-        h = F.xxhash64("doc_id")
-        bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, k).bitwiseAND(63).cast("int"))
-        return rows.withColumn("_word", F.pmod(F.shiftrightunsigned(h, 12), F.lit(words).cast("long"))).withColumn("_mask", bit(0).bitwiseOR(bit(6)))
-
-    # at most `words` rows, whatever the labels
-    filled = stage(marked(good).groupBy("_word").agg(F.bit_or("_mask").alias("_bits")), "filter")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND doc_id IS NOT NULL")
-    rows = marked(rows).join(F.broadcast(filled), "_word").where(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask")).select("doc_id", "text")
+    rows = Filter(good, "doc_id").keep(rows, "doc_id")
     return rows.join(good.hint("merge"), "doc_id", "left_semi").select("text")
 
 

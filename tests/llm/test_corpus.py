@@ -181,8 +181,10 @@ def test_lines(make):
     assert line_dedup.clean(docs).columns == docs.columns
 
 
-def test_lines_equal_brute_force(make):
-    """Families around the limit of agreement, several in a leaf, some in one document only; ids with several texts, null ids, repeated rows."""
+@pytest.mark.parametrize("small", [line_dedup.SMALL, 1])
+def test_lines_equal_brute_force(make, monkeypatch, small):
+    """With leaves as one row each, and all in rounds. Families around the limit of agreement, several in a leaf, some in one document only; ids with several texts, null ids, repeated rows."""
+    monkeypatch.setattr(line_dedup, "SMALL", small)
     rng = random.Random(16)
     rows = []
     for k in range(60):
