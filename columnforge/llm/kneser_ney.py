@@ -74,7 +74,8 @@ def trusted(docs: DataFrame, good: DataFrame) -> DataFrame:
     """text of the documents (doc_id, text) whose id is in `good`, a written table."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND doc_id IS NOT NULL")
     rows = Filter(good, "doc_id").keep(rows, "doc_id")
-    return rows.join(good.hint("merge"), "doc_id", "left_semi").select("text")
+    # ids in `good` are distinct; a semi-join would be moved below the filter
+    return rows.join(good.hint("merge"), "doc_id").select("text")
 
 
 def _half(text: Column | str = "text") -> Column:
