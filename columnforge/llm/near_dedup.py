@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from ._shared import stage
 from ._text import IN_TOKEN, LOWER, U64, chunks, mix, text_bytes, word_hashes, words
@@ -185,6 +186,32 @@ def duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents, all columns, one of each group of near copies: the one with the smallest id.
+
+    Rows without an id stay. Rows that share an id but not the text are documents of their own, and come after all others in the
+    order; of rows that share both, the one with the smallest hash of its columns stays.
+    """
+    inner = [c if c == "text" else f"_{k}" for k, c in enumerate(docs.columns)]
+    name = inner[docs.columns.index("doc_id")]
+    own, back = docs.toDF(*inner), [F.col(a).alias(b) for a, b in zip(inner, docs.columns, strict=True)]
+    own = own.withColumns({"_id": F.col(name).cast("long"), "_h": F.xxhash64(F.col("text").cast("string"))})
+    seen = own.where("_id IS NOT NULL").groupBy("_id").agg(F.count("*").alias("n"), F.min("_h").alias("x"), F.max("_h").alias("y")).where("n > 1")
+    twice = stage(seen.select("_id", (F.col("x") != F.col("y")).alias("_several")), "repeated")
+    own = own.withColumn("_node", F.col("_id"))
+    if again := not twice.isEmpty():
+        # two bits of the hash make way for the place in the order
+        last = F.lit(1 << 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("_id", "_h"), 2))
+        own = own.drop("_node").join(twice, "_id", "left").withColumn("_node", F.when(F.col("_several"), last).otherwise(F.col("_id")))
+    gone = stage(duplicates(own.select(F.col("_node").alias("doc_id"), "text"), percent).where("NOT kept").select(F.col("doc_id").alias("_node")).distinct(), "gone")
+    left = own.join(gone, "_node", "left_anti")
+    if again:
+        some = [f.name for f in left.schema.fields if f.name in inner and not isinstance(f.dataType, MapType | StructType | ArrayType | VariantType)]
+        more = left.where("_several IS NOT NULL").groupBy("_id", "_h").agg(F.min_by(F.struct(*inner), F.xxhash64(*some)).alias("_row")).select("_row.*")
+        left = left.where("_several IS NULL").select(*inner).unionAll(more.select(*inner))
+    return left.select(*back)
+
+
 #: A task compares two blocks of at most about so many sets, and so many shingles.
 BLOCK_ROWS = 512
 BLOCK_SHINGLES = 1 << 20

@@ -251,11 +251,14 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids, decoded (the text that the ids give) for each document (doc_id, text)."""
+    """doc_id, ids, decoded (the text that the ids give) for each document (doc_id, text); an error where that is not the text itself."""
 
     def run(batches):
         for part, ids, at, data, ends in _run(batches, model):
             texts = [data[a + 1 : b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            source, place = text_bytes(part.column("text"))
+            if b"".join(texts) != source.tobytes() or not np.array_equal(np.cumsum([0, *map(len, texts)]), place):
+                raise ValueError("a text does not come back from its pieces")
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(ids)), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
 
     return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")

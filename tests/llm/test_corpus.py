@@ -553,9 +553,32 @@ def test_pipeline(spark):
 
 
 def test_stages_on_odd_rows(spark, sf_dir, make, odd):
+    """Each stage on nulls, empty and long texts, repeated rows: what it keeps."""
     import corpus_pipeline
 
-    docs = make(odd)
-    for _, step in corpus_pipeline.STAGES:
-        assert step(spark, docs, sf_dir).count() <= len(odd)
-        assert step(spark, docs.limit(0), sf_dir).count() == 0
+    docs, rows = make(odd), [(r[0], r[1]) for r in odd]
+    steps = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted((str(r.doc_id), str(r.text)) for r in df.collect())
+    whole = sorted((str(d), str(t)) for d, t in rows)
+    for name in ("quality classifier", "line dedup", "near dedup", "decontamination", "sentencepiece"):
+        assert steps[name](spark, docs.limit(0), sf_dir).count() == 0
+    kept = texts(steps["quality classifier"](spark, docs, sf_dir))
+    assert set(kept) <= set(whole) and {(str(d), str(t)) for d, t in rows if not t} <= set(kept)
+    assert texts(steps["line dedup"](spark, docs, sf_dir)) == whole  # the copies are verified, so they keep their lines for near-dedup
+    near = texts(steps["near dedup"](spark, docs, sf_dir))
+    assert near == sorted(set(whole) - {("5", rows[6][1])})
+    assert texts(steps["decontamination"](spark, docs, sf_dir)) == whole
+    assert sorted((str(r.doc_id), r.decoded) for r in steps["sentencepiece"](spark, docs, sf_dir).collect()) == sorted((str(d), t or "") for d, t in rows)
+
+
+def test_rows_of_one_id(make):
+    """Different texts of one id are not lost; of a repeated row one stays; the choice does not hang on the order of rows."""
+    a, b, c = ("a b c d e f g h", "i j k l m n o p", "q r s t u v w x")
+    rows = [(1, a, "en", "s"), (2, a, "en", "s"), (2, b, "en", "s"), (2, b, "de", "s"), (3, c, "en", "s"), (4, b, "en", "s"), (None, a, "en", "s"), (None, a, "en", "s")]
+    want = None
+    for order in (rows, rows[::-1]):
+        got = sorted((str(r.doc_id), r.text, r.lang) for r in near_dedup.deduplicated(make(order)).collect())
+        assert [x[:2] for x in got] == [("1", a), ("3", c), ("4", b), ("None", a), ("None", a)]
+        want = want or got
+        assert got == want
+    assert near_dedup.deduplicated(make([(2, b, "en", "s"), (2, b, "de", "s"), (2, c, "en", "s")])).count() == 2
