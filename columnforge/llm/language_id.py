@@ -6,11 +6,12 @@ language's text and divided by the length, the better the language explains it.
 
 The automata are over lower-cased UTF-8 bytes in which each ASCII byte other than a letter is a space. All
 blocks of BLOCK bytes of a chunk of documents are parsed side by side: a step takes one byte of each block and
-one look-up in a dense transition table, whose entries already hold the restart after a mismatch. A phrase
-ends with its block.
+one look-up in a dense transition table, whose entries already hold the restart after a mismatch. A block's parse
+begins OVERLAP bytes before it, so that it falls in step with the phrases that run into it, and counts those that end in the block.
 
-The fit is on a bounded sample: at most TRAIN_BYTES bytes for each language, at most 256 languages, drawn by
-hash over all labelled texts, each text once.
+The fit is on a bounded sample of labelled rows: of each language SAMPLES texts at most, drawn by hash over all of them, each text
+once, and of each text a passage at a place drawn by hash. A language gives at most TRAIN_BYTES bytes, and all together about
+TOTAL_BYTES: with more languages each gives fewer, but LEAST_BYTES, and none is left out.
 
 Defined cases: null text and text without letters give `und` and score 0; without any labelled text all rows
 do; of languages with equal results the first by name wins with score 0; a null label is not learned; an empty
@@ -28,12 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import stage
 from ._text import chunks, text_bytes
 
-TRAIN_BYTES = 24_000
-SAMPLES = 64
+TRAIN_BYTES = 32_000
+TOTAL_BYTES = 400_000
+LEAST_BYTES = 1_000
+SAMPLES = 128
 BLOCK = 1024
-LANGUAGES = 256
+OVERLAP = 64
 #: An entry's two highest bits: how many phrases end there.
 _ENDS = np.uint32(30)
 _STATE = np.uint32((1 << 30) - 1)
@@ -109,48 +113,54 @@ class Automata:
         return cls(names, symbols, width, tables, bits)
 
     def phrases(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """(texts, languages): phrases of each text, cleaned bytes data[at[i]:at[i + 1]], by blocks."""
+        """(texts, languages): phrases of each text, cleaned bytes data[at[i]:at[i + 1]]."""
         size = np.diff(at)
         blocks = -(-size // BLOCK)
         owner = np.repeat(np.arange(len(size)), blocks)
         begin = np.concatenate(([0], np.cumsum(blocks)))[:-1]
-        start = at[:-1][owner] + (np.arange(len(owner)) - begin[owner]) * BLOCK
-        length = np.minimum(BLOCK, at[1:][owner] - start)
+        place = np.arange(len(owner)) - begin[owner]
+        start = at[:-1][owner] + place * BLOCK
+        lead = np.where(place > 0, OVERLAP, 0)
+        length = np.minimum(BLOCK, at[1:][owner] - start) + lead
+        last = place == blocks[owner] - 1
         order = np.argsort(-length, kind="stable")
-        start, length, owner = start[order], length[order], owner[order]
+        start, lead, length, last, owner = (start - lead)[order], lead[order], length[order], last[order], owner[order]
         code = self.symbols[data]
         out = np.zeros((len(size), len(self.names)), np.int64)
-        live = np.searchsorted(-length, -np.arange(1, BLOCK + 1), "right") if len(length) else []
+        live = np.searchsorted(-length, -np.arange(1, BLOCK + OVERLAP + 1), "right") if len(length) else []
         for k, table in enumerate(self.tables):
             state, count = np.zeros(len(start), np.uint32), np.zeros(len(start), np.uint32)
             for t, n in enumerate(live):
                 if not n:
                     break
                 s = table.take(state[:n] + code.take(start[:n] + t))
-                count[:n] += s >> _ENDS
+                count[:n] += s >> _ENDS if t >= OVERLAP else (s >> _ENDS) * (lead[:n] == 0)
                 state[:n] = s & _STATE
-            out[:, k] = np.bincount(owner, count + (state > 0), len(size))
+            out[:, k] = np.bincount(owner, count + ((state > 0) & last), len(size))
         return out
 
 
 def _training(docs: DataFrame, usable: Column, train_bytes: int) -> dict[str, bytes]:
-    """Text of each language: of SAMPLES hash buckets of texts the first each, an equal share of bytes."""
-    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("h"))
-    languages = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    picks = [r[0] for r in rows.where(F.col("lang").isin(languages)).groupBy("lang", F.pmod("h", F.lit(SAMPLES))).agg(F.min("h").alias("h")).select("h").collect()] if languages else []
-    if not picks:
+    """Text of each language: of SAMPLES hash buckets of texts the first each, an equal share of bytes from somewhere in it."""
+    rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
+    rows = rows.withColumn("bucket", F.pmod("h", F.lit(SAMPLES)))
+    picks = stage(rows.groupBy("lang", "bucket").agg(F.min("h").alias("h")), "picks")
+    languages = picks.select("lang").distinct().count()  # a row for each label
+    if not languages:
         return {}
-    share = max(1, train_bytes // SAMPLES)
-    # a picked text may have many copies: one of each language and hash, cut before it is moved
-    found = rows.where(F.col("h").isin(picks)).groupBy("lang", "h").agg(F.max(F.substring("text", 1, 16 * share)).alias("t")).collect()
+    most = min(train_bytes, max(LEAST_BYTES, TOTAL_BYTES // languages))
+    share = max(1, most // SAMPLES)
+    # a language with few texts gives more of each; a picked text may have many copies, of which one passage is moved
+    have = picks.groupBy("lang").agg(F.count("*").alias("texts"))
+    size = F.greatest(F.lit(share), F.floor(F.lit(most) / F.col("texts")).cast("int"))
+    found = rows.join(picks.join(have, "lang").withColumn("size", size), ["lang", "bucket", "h"])
+    start = F.pmod(F.xxhash64("h"), F.greatest(F.char_length("text") - F.col("size") + 1, F.lit(1))).cast("int")
+    found = found.groupBy("lang", "h", "size").agg(F.max(F.substring(F.col("text"), start + 1, F.col("size"))).alias("t")).collect()
     out: dict[str, bytes] = {}
-    for name in languages:
-        have = [_clean(pa.array([r.t]))[0].tobytes() for r in sorted(found, key=lambda r: r.h) if r.lang == name]
-        have = [x for x in have if x.strip()]
-        need = max(share, train_bytes // max(1, len(have)))
-        text = b" ".join(x[:need] for x in have)[:train_bytes]
-        if text:
-            out[name] = text
+    for r in sorted(found, key=lambda r: (r.lang, r.h)):
+        text = _clean(pa.array([r.t]))[0].tobytes()[: r.size]
+        if text.strip():
+            out[r.lang] = out[r.lang] + b" " + text if r.lang in out else text
     return out
 
 

@@ -19,15 +19,21 @@ from columnforge.llm.queries import op1_language_id, op2_token_files, op8_senten
 # language identification
 
 
-def phrases(text: bytes, trained: bytes) -> int:
-    """Cross parsing by substring search."""
-    count, at = 0, 0
+def phrase_ends(text: bytes, trained: bytes) -> tuple[list[int], bool]:
+    """Cross parsing by substring search: where phrases end (for a byte never seen: where it is), and whether one is open at the end."""
+    ends, at = [], 0
     while at < len(text):
         n = 1
         while at + n < len(text) and text[at : at + n + 1] in trained:
             n += 1
-        count, at = count + 1, at + n
-    return count
+        if text[at : at + 1] not in trained:
+            ends.append(at)
+        elif at + n < len(text):
+            ends.append(at + n)
+        else:
+            return ends, True
+        at += n
+    return ends, False
 
 
 def test_parsing_equals_substring_search():
@@ -39,8 +45,39 @@ def test_parsing_equals_substring_search():
     at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     got = model.phrases(data, at)
     for k, t in enumerate(texts):
-        blocks = [t[i : i + language_id.BLOCK] for i in range(0, len(t), language_id.BLOCK)]
-        assert got[k].tolist() == [sum(phrases(b, trained[n]) for b in blocks) for n in model.names]
+        for j, name in enumerate(model.names):
+            count = 0
+            for b in range(0, len(t), language_id.BLOCK):
+                lead = language_id.OVERLAP if b else 0
+                ends, is_open = phrase_ends(t[b - lead : b + language_id.BLOCK], trained[name])
+                count += sum(x >= lead for x in ends) + (is_open and b + language_id.BLOCK >= len(t))
+            whole, is_open = phrase_ends(t, trained[name])
+            assert got[k, j] == count and abs(count - len(whole) - is_open) <= len(t) // language_id.BLOCK
+
+
+def test_training_text(spark, make, monkeypatch):
+    """Passages from all places of texts, no language left out, within the bounds."""
+    monkeypatch.setattr(language_id, "TOTAL_BYTES", 20_000)
+    rng = random.Random(4)
+    body = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400))
+    docs = make([(k, "head " * 100 + body() + " end" * 100, f"l{k % 300:03d}", "s") for k in range(900)])
+    found = language_id._training(docs, F.lit(True), 32_000)
+    assert len(found) == 300 and all(0 < len(x) <= language_id.LEAST_BYTES + 10 for x in found.values())
+    share = sum(x.count(b"head") for x in found.values()) * 5 / sum(map(len, found.values()))
+    assert share < 0.4 and sum(b"end end" in x for x in found.values()) > 10
+
+
+def test_long_text_equals_its_parts(spark, make):
+    """A text of megabytes, in blocks, has the phrases of its whole parse but for a few at the blocks' ends."""
+    rng = random.Random(9)
+    lexicon = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    text = " ".join(rng.choice(lexicon) for _ in range(40_000))
+    model = language_id.Automata.build({"a": text[:3000].encode(), "b": b"zyx wvu"})
+    data = np.frombuffer(text.encode(), np.uint8)
+    ends, is_open = phrase_ends(text.encode(), text[:3000].encode())
+    got = model.phrases(data, np.array([0, len(data)]))[0, 0]
+    assert abs(got - len(ends) - is_open) <= 0.002 * got
+    assert [r.lang_pred for r in language_id.identify(make([text]), model).collect()] == ["a"]
 
 
 def test_held_out_accuracy(spark, sf_dir):
