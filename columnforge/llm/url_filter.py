@@ -1,7 +1,8 @@
 """URL filters: allow and block rules, and gradient-boosted trees on lexical features for the rest.
 
 URLs that a rule decides are the labelled ones. Suffix statistics (block rates of a host's last label and last
-two labels, over all labelled URLs) are partial sums by suffix. The trees are fitted on the driver to at most
+two labels, over all labelled URLs) are partial sums by suffix and fold. A URL that is fitted has the rates of the other
+folds, so its own label does not reach its features; all others have those of all folds. The trees are fitted on the driver to about
 TRAIN_ROWS labelled URLs, an even share by hash; this bound and the trees' size are parameters.
 
 Features: length of url, host and path; depth; share of digits; entropy of bytes; parameters; hyphens; labels of
@@ -19,10 +20,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import stage
+from ._text import text_bytes
 
 TRAIN_ROWS = 20_000
 TREES = 40
@@ -30,6 +33,9 @@ DEPTH = 3
 BINS = 32
 RATE = 0.2
 SMOOTH = 20.0
+FOLDS = 5
+#: Rows whose features are worked out together.
+ROWS = 4096
 
 
 @dataclass
@@ -91,20 +97,20 @@ def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
     return model
 
 
-def lexical(urls: list[str | None], hosts: list[str], paths: list[str], rates: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(urls), 11))
-    for k, (url, host, path) in enumerate(zip(urls, hosts, paths, strict=True)):
-        data = np.frombuffer((url or "").encode("utf-8", "surrogatepass"), np.uint8)
-        if len(data):
-            share = np.bincount(data, minlength=256)
-            share = share[share > 0] / len(data)
-            out[k, 4] = ((data >= 48) & (data <= 57)).mean()
-            out[k, 5] = -(share * np.log2(share)).sum()
-        query = (url or "").partition("?")[2].partition("#")[0]
-        out[k, :4] = len(data), len(host), len(path), path.count("/")
-        out[k, 6:9] = len([x for x in query.split("&") if x]), host.count("-"), host.count(".") + bool(host)
-    out[:, 9], out[:, 10] = rates
-    return out
+def lexical(url: pa.Array, host: pa.Array, path: pa.Array, rates: list[np.ndarray]) -> np.ndarray:
+    """An (n, 11) array of the features."""
+    url, host, path = (pc.fill_null(x.cast(pa.large_string()), "") for x in (url, host, path))
+    data, at = text_bytes(url)
+    size = np.diff(at)
+    owner = np.repeat(np.arange(len(size)), size)
+    share = np.bincount(owner * 256 + data, minlength=256 * len(size)).reshape(-1, 256) / np.maximum(size, 1)[:, None]
+    entropy = np.round(-(share * np.log2(np.where(share > 0, share, 1))).sum(axis=1), 9)  # so that equal ones do not hang on the order of bytes
+    digits = np.bincount(owner, (data >= 48) & (data <= 57), len(size)) / np.maximum(size, 1)
+    query = pc.replace_substring_regex(pc.replace_substring_regex(url, r"(?s)^[^?]*\??", ""), r"(?s)#.*$", "")
+    count = lambda x, of: np.asarray(pc.count_substring(x, of))
+    filled = np.asarray(pc.binary_length(host)) > 0
+    length = [np.asarray(pc.utf8_length(x)) for x in (host, path)]
+    return np.stack([size, *length, count(path, "/"), digits, entropy, np.asarray(pc.count_substring_regex(query, "[^&]+")), count(host, "-"), count(host, ".") + filled, *rates], axis=1).astype(np.float64)
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -134,34 +140,38 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], train_rows: int = TRAI
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"))
     name, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", name.alias("rule"), verdict.alias("ruled"), _suffix(F.col("host"), 1).alias("s1"), _suffix(F.col("host"), 2).alias("s2"))
+    rows = rows.withColumn("fold", F.when(F.col("ruled").isNotNull(), F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS))))
     known = rows.where("ruled IS NOT NULL").withColumn("y", (F.col("ruled") == "block").cast("double"))
     pooled = known.agg(F.count("*").alias("n"), F.sum("y").alias("k")).first()
     mean = (pooled.k + 0.5) / (pooled.n + 1.0) if pooled.n else 0.0
     for s in ("s1", "s2"):
-        rate = known.groupBy(s).agg(((F.sum("y") + SMOOTH * mean) / (F.count("*") + SMOOTH)).alias(f"{s}_rate"))
-        rows = rows.join(stage(rate, f"rate-{s}"), s, "left")
-    rows = rows.select("page_id", "url", "host", "path", "rule", "ruled", *(F.coalesce(f"{s}_rate", F.lit(mean)).alias(f"{s}_rate") for s in ("s1", "s2")))
-    # an even share of the labelled urls by hash, so that no more than the sample comes to the driver
-    mark = F.xxhash64("url", "page_id")
+        own = lambda f, v: F.sum(F.when(F.col("fold") == f, v).otherwise(0.0))
+        sums = known.groupBy(s).agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("k"), F.array(*(own(f, 1.0) for f in range(FOLDS))).alias("ns"), F.array(*(own(f, F.col("y")) for f in range(FOLDS))).alias("ks"))
+        less = lambda c: F.col(c) - F.coalesce(F.get(F.col(f"{c}s"), F.col("fold")), F.lit(0.0))
+        rows = rows.join(stage(sums, f"rate-{s}"), s, "left").withColumn(f"{s}_rate", F.coalesce((less("k") + SMOOTH * mean) / (less("n") + SMOOTH), F.lit(mean))).drop("n", "k", "ns", "ks")
+    rows = rows.select("page_id", "url", "host", "path", "rule", "ruled", "s1_rate", "s2_rate")
+    # an even share of the labelled urls by hash, so that no more than about the sample comes to the driver
     share = min(1.0, train_rows / max(1, pooled.n))
-    sample = rows.where(F.col("ruled").isNotNull() & (F.pmod(mark, F.lit(1 << 30)) < round(share * (1 << 30)))).limit(train_rows).collect()
-    sample.sort(key=lambda r: (r.url, r.page_id or 0))
-    x = lexical([r.url for r in sample], [r.host for r in sample], [r.path for r in sample], [np.array([r.s1_rate for r in sample]), np.array([r.s2_rate for r in sample])])
-    trees = fit_trees(x, np.array([float(r.ruled == "block") for r in sample]))
-    held = pages.sparkSession.sparkContext.broadcast(trees if sample else None)
+    sample = rows.where(F.col("ruled").isNotNull() & (F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 30)) < round(share * (1 << 30))))
+    sample = sample.toArrow().sort_by([("url", "ascending"), ("page_id", "ascending")]).combine_chunks()
+    column = lambda t, c: t.column(c).combine_chunks() if isinstance(t, pa.Table) else t.column(c)
+
+    def features(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+        return lexical(column(t, "url"), column(t, "host"), column(t, "path"), [column(t, c).to_numpy(zero_copy_only=False) for c in ("s1_rate", "s2_rate")])
+
+    x = np.concatenate([features(sample.slice(k, ROWS)) for k in range(0, sample.num_rows, ROWS)]) if sample.num_rows else np.zeros((0, 11))
+    trees = fit_trees(x, np.asarray(pc.equal(column(sample, "ruled"), "block"), np.float64))
+    held = pages.sparkSession.sparkContext.broadcast(trees if sample.num_rows else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
-                url, host, path, ruled = (part.column(c).to_pylist() for c in ("url", "host", "path", "ruled"))
-                if model is None:
-                    score = np.zeros(len(url))
-                else:
-                    score = 1 / (1 + np.exp(-model.margin(lexical(url, host, path, [part.column(c).to_numpy(zero_copy_only=False) for c in ("s1_rate", "s2_rate")]))))
-                verdict = [r or ("block" if s > 0.5 else "allow") for r, s in zip(ruled, score.tolist(), strict=True)]
-                own = [None if r else s for r, s in zip(ruled, score.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "host", "path", "rule")), pa.array(verdict, pa.string()), pa.array(own, pa.float64())], ["page_id", "url", "host", "path", "rule", "verdict", "score"])
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                ruled = part.column("ruled")
+                score = pa.array(np.zeros(part.num_rows) if model is None else 1 / (1 + np.exp(-model.margin(features(part)))))
+                verdict = pc.coalesce(ruled, pc.if_else(pc.greater(score, 0.5), "block", "allow"))
+                own = pc.if_else(pc.is_valid(ruled), pa.scalar(None, pa.float64()), score)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "host", "path", "rule")), verdict.cast(pa.string()), own], ["page_id", "url", "host", "path", "rule", "verdict", "score"])
 
     return rows.mapInArrow(run, "page_id long, url string, host string, path string, rule string, verdict string, score double")
