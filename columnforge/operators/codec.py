@@ -70,7 +70,7 @@ def encode(spark: SparkSession, rows: Iterable[Any], schema: T.StructType | None
     schema = schema or _schema(rows)
     for f in schema:
         if not f.nullable and any(r.get(f.name) is None for r in rows):
-            raise InvalidError(f"non-nullable column '{f.name}' contains null values")
+            raise InvalidError(f"{f.name}: null where the schema allows none")
     return spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema)
 
 

@@ -149,14 +149,39 @@ def batch_lengths(columns: dict[str, DataFrame]) -> DataFrame:
 
 
 def assemble(columns: dict[str, list], schema: T.StructType, spark) -> DataFrame:
-    """A batch from columns of equal length; nullability is checked."""
-    sizes = {len(v) for v in columns.values()}
+    """A small batch from columns of equal length in memory; nullability is checked. Columns of tables go through zip_columns."""
     if not columns:
         raise InvalidError("a batch has at least one column")
-    if len(sizes) > 1:
-        raise InvalidError("columns have different sizes")
+    if len(sizes := {len(v) for v in columns.values()}) > 1:
+        raise InvalidError(f"columns of unequal length: {', '.join(map(str, sorted(sizes)))}")
     for f, values in zip(schema, columns.values(), strict=True):
-        nulls = sum(v is None for v in values)
-        if nulls and not f.nullable:
-            raise InvalidError(f"non-nullable column '{f.name}' contains {nulls} null values")
+        if not f.nullable and (nulls := sum(v is None for v in values)):
+            raise InvalidError(f"column {f.name!r} must not be null, but {nulls} of its values are")
     return spark.createDataFrame(list(zip(*columns.values(), strict=True)), schema)
+
+
+def zip_columns(columns: dict[str, tuple[DataFrame, str, list[str]]], not_null: tuple[str, ...] = ()) -> DataFrame:
+    """A table from columns of several tables, each (table, column, order): row k has each one's k-th value, and row_index k.
+
+    Lengths are compared first and nulls of the columns `not_null` counted, as summing up is cheaper than joining; then
+    the columns meet by their positions, so no rows are gathered.
+    """
+    lengths = batch_lengths({name: df for name, (df, _, _) in columns.items()}).collect()  # a row for each column
+    if len({r.length for r in lengths}) > 1:
+        raise InvalidError(f"columns of unequal length: {', '.join(f'{r.column} {r.length}' for r in lengths)}")
+    for name in not_null:
+        df, column, _ = columns[name]
+        if nulls := df.where(F.col(column).isNull()).count():
+            raise InvalidError(f"column {name!r} must not be null, but {nulls} of its values are")
+    parts = []
+    for name, (df, column, order) in columns.items():
+        own = df.select(*(F.col(c).alias(f"_o{k}") for k, c in enumerate(order)), F.col(column).alias("_v"))
+        parts.append(with_index(own, [f"_o{k}" for k in range(len(order))]).select("row_index", F.col("_v").alias(name)))
+    return reduce(lambda a, b: a.join(b, "row_index"), parts)
+
+
+def any_values(df: DataFrame, order: list[str], index: int) -> DataFrame:
+    """(column, type, value as text) of the row at a position, whatever the columns' types; null is null."""
+    row = nth_row(df, order, index)
+    made = F.array(*(F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.col(f"`{f.name}`").cast("string").alias("value")) for f in df.schema))
+    return row.select(F.inline(made))

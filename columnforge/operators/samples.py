@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Annotated
+
+from pyspark.sql import types as T
 
 
 @dataclass
@@ -10,3 +13,12 @@ class Nation:
     n_nationkey: int
     n_name: str | None
     n_regionkey: int | None
+
+
+@dataclass
+class Typed:
+    """The same with the widths of its integers declared."""
+
+    n_nationkey: Annotated[int, T.LongType()]
+    n_name: str | None
+    n_regionkey: Annotated[int, T.IntegerType()] | None

@@ -72,7 +72,7 @@ def violations(df: DataFrame, not_null: list[str]) -> DataFrame:
 def require(df: DataFrame, not_null: list[str]) -> DataFrame:
     """df whose rows raise an error where a column that must not be null is; checked as the rows pass by."""
     for c in not_null:
-        df = df.withColumn(c, F.coalesce(F.col(c), F.raise_error(F.lit(f"non-nullable column '{c}' contains nulls")).cast(df.schema[c].dataType)))
+        df = df.withColumn(c, F.coalesce(F.col(c), F.raise_error(F.lit(f"{c}: null where none is allowed")).cast(df.schema[c].dataType)))
     return df
 
 

@@ -229,7 +229,7 @@ def from_c_format(text: str) -> Type:
     if text.startswith("ts"):
         if m := re.fullmatch(r"ts([smun])(?::(.*))?", text):
             return Type("timestamp", units[m[1]], m[2] or None)
-        raise InvalidError(f"{text!r} is no timestamp format ts[s|m|u|n][:timezone]")
+        raise InvalidError(f"{text!r}: a timestamp is written as ts, the letter of its unit, and perhaps a colon and its zone")
     raise UnsupportedError(f"no type for the format {text!r}")
 
 

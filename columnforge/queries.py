@@ -5,17 +5,19 @@ from __future__ import annotations
 import threading
 import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import InheritableThread
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .errors import InvalidError
+from .errors import ColumnError, SourceError
 from .functions import layout, render
 from .operators import codec, frame, nested
 from .plans import flightsql, types
-from .plans.schema import violations
+from .plans.schema import SchemaBuilder, violations
 from .plans.types import Field, Type, list_of, struct_of
 from .sources import cdata, flight, ipc, shared
 from .streaming import messages
@@ -142,11 +144,11 @@ def slice_null_counts(spark, sf_dir):
 
 @query("""SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey < 1000
 UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey >= 1000 AND o_orderkey < 5000
-UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey >= 9000""")
+UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey >= 5000 OR o_orderkey IS NULL""")
 def concat_batches(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     k = F.col("o_orderkey")
-    return frame.concat([rows.where(k < 1000), rows.where((k >= 1000) & (k < 5000)), rows.where(k >= 9000)])
+    return frame.concat([rows.where(k < 1000), rows.where((k >= 1000) & (k < 5000)), rows.where((k >= 5000) | k.isNull())])
 
 
 @query(f"WITH h AS ({_HOLES}) SELECT (o_orderkey % 3)::INTEGER AS chunk, count(*) AS length, count(*) - count(status) AS nulls FROM h GROUP BY 1")
@@ -495,15 +497,16 @@ def ipc_projection(spark, sf_dir):
 
 @query("SELECT i // 1000 AS block, count(*) AS rows, min(o_orderkey) AS low, max(o_orderkey) AS high FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) GROUP BY 1")
 def ipc_batch_index(spark, sf_dir):
-    """A file of blocks of 1000 rows; each block is a partition of its own."""
+    """Files of record batches of 1000 rows, written by tasks that have whole blocks; each batch is read as a partition of its own."""
     ipc.register(spark)
     path = exchange_dir(spark)
-    rows = table(spark, sf_dir, "orders").select("o_orderkey").orderBy("o_orderkey").toArrow()
-    store, inner = ipc.open_store(path)
-    store.create_dir(inner, recursive=True)
-    with store.open_output_stream(f"{inner}/one.arrow") as sink, pa.ipc.new_file(sink, rows.schema) as out:
-        out.write_table(rows.combine_chunks(), max_chunksize=1000)
-    return spark.read.format("colipc").load(path).groupBy(F.spark_partition_id().cast("long").alias("block")).agg(F.count("*").alias("rows"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
+    rows = frame.with_index(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
+    whole = rows.repartition(8, F.floor(F.col("row_index") / 1000)).sortWithinPartitions("row_index").select("o_orderkey")
+    whole.write.format("colipc").option("blockRows", 1000).mode("append").save(path)
+    rows = spark.read.format("colipc").option("split", "batch").load(path)
+    blocks = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("rows"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"))
+    # a short row for each batch
+    return blocks.select((F.row_number().over(Window.orderBy("low")) - 1).cast("long").alias("block"), "rows", "low", "high")
 
 
 @query(_ORDERS)
@@ -689,3 +692,246 @@ def sql_ingest_replace(spark, sf_dir):
 def sql_reader(spark, sf_dir):
     facade = _views(spark, sf_dir, "events")
     return facade.query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+
+
+# the same operators on more kinds of data
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 3 > 0 THEN nullif(o_orderstatus, 'F') END AS status, o_custkey % 3 = 0 AS no_struct, CASE WHEN o_custkey % 4 > 0 THEN 3 END AS outer_size, CASE WHEN o_custkey % 4 > 0 THEN o_custkey END AS deep FROM orders")
+def ipc_nulls_roundtrip(spark, sf_dir):
+    """Null values, null structs with null fields, and lists of lists, through files."""
+    k = F.col("o_custkey")
+    made = nested.build_struct({"status": F.nullif("o_orderstatus", F.lit("F")), "price": F.col("o_totalprice")}, k % 3 > 0)
+    lists = F.when(k % 4 > 0, F.array(F.array(k, F.lit(None).cast("long")), F.lit(None).cast("array<long>"), F.array().cast("array<long>")))
+    rows = _round(spark, table(spark, sf_dir, "orders").select("o_orderkey", made.alias("s"), lists.alias("l")), "colipc")
+    return rows.select("o_orderkey", F.col("s.status").alias("status"), F.col("s").isNull().alias("no_struct"), F.when(F.col("l").isNotNull(), F.size("l")).alias("outer_size"), F.get(F.get("l", F.lit(0)), F.lit(0)).alias("deep"))
+
+
+@query("SELECT vec_id, unnest(range(32))::INTEGER AS outer_pos, unnest(list_transform(range(32), lambda i: embedding[2 * i + 1])) AS first, unnest(list_transform(range(32), lambda i: embedding[2 * i + 2])) AS second FROM embeddings")
+def list_of_lists(spark, sf_dir):
+    """Pairs of neighbouring values as lists in a list, and back."""
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.slice("embedding", 2 * i + 1, F.lit(2)))
+    rows = nested.list_values(table(spark, sf_dir, "embeddings").select("vec_id", pairs.alias("pairs")), "pairs", "vec_id")
+    return rows.select("vec_id", F.col("pos").alias("outer_pos"), nested.element("value", 0).alias("first"), nested.element("value", 1).alias("second"))
+
+
+@query(values_sql([("child shorter than its offsets", True), ("offsets that go back", True), ("sound", False)], ["batch", "refused"]))
+def ipc_bad_offsets(spark, sf_dir):
+    """List offsets are checked when a batch is read."""
+    rows = []
+    for name, offsets in (("sound", [0, 1, 3]), ("child shorter than its offsets", [0, 1, 9]), ("offsets that go back", [0, 2, 1])):
+        made = pa.Array.from_buffers(pa.list_(pa.int32()), 2, [None, pa.array(offsets, pa.int32()).buffers()[1]], children=[pa.array([1, 2, 3], pa.int32())])
+        try:
+            ipc.legal_batch(pa.RecordBatch.from_arrays([made], ["l"]), None)
+            rows.append((name, False))
+        except SourceError:
+            rows.append((name, True))
+    return spark.createDataFrame(rows, "batch string, refused boolean")
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def message_take(spark, sf_dir):
+    """A schema message and a message for each batch, taken one after another."""
+    rows, result = table(spark, sf_dir, "supplier"), messages.Result()
+    batches = rows.toArrow().to_batches(max_chunksize=40)
+    result.take(messages.encode_schema(batches[0].schema))
+    for batch in batches:
+        header, body = messages.encode_batch(batch)
+        assert header and body
+        result.take(batch.serialize().to_pybytes())
+    return messages.from_table(spark, pa.Table.from_batches(result.batches, result.schema))
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
+def flight_source(spark, sf_dir):
+    """The format colflight: a partition for each endpoint of a flight."""
+
+    def use(registry, client):
+        flight.register(spark)
+        registry.put("customers", table(spark, sf_dir, "customer").repartition(2, "c_custkey"))
+        rows = spark.read.format("colflight").options(location=client.location, flight="customers").load()
+        return shared.stage(rows, "flight")
+
+    return _served(spark, use)
+
+
+@query(values_sql([("handshake", "UnsupportedError"), ("poll_info", "UnsupportedError")], ["call", "error"]))
+def flight_not_offered(spark, sf_dir):
+    def use(registry, client):
+        return spark.createDataFrame([(name, _error(getattr(client, name))) for name in ("handshake", "poll_info")], "call string, error string")
+
+    return _served(spark, use)
+
+
+def _error(f, *args) -> str | None:
+    """The name of the error that a call raises."""
+    try:
+        f(*args)
+    except ColumnError as e:
+        return type(e).__name__
+    return None
+
+
+@query("SELECT r_regionkey AS col0 FROM region")
+def encode_values(spark, sf_dir):
+    return codec.encode_values(spark, codec.decode_column(table(spark, sf_dir, "region"), "r_regionkey"), T.IntegerType())
+
+
+@query("SELECT r_regionkey::BIGINT AS col0, r_name AS col1 FROM region")
+def encode_map(spark, sf_dir):
+    return codec.encode_map(spark, dict(codec.decode_rows(table(spark, sf_dir, "region"))), T.LongType(), T.StringType())
+
+
+@query("SELECT 0 AS place, 'name' AS column_name, 'string' AS type UNION ALL SELECT 1, 'balance', 'double' UNION ALL SELECT 2, 'late', 'boolean'")
+def encode_order(spark, sf_dir):
+    """Columns come in the order in which names are first seen, a column of a first null included."""
+    made = codec.encode(spark, [{"name": "a", "balance": None}, {"name": "b", "balance": 1.5, "late": True}])
+    return spark.createDataFrame([(k, f.name, f.dataType.simpleString()) for k, f in enumerate(made.schema)], "place int, column_name string, type string")
+
+
+@query(values_sql([("bare integer", "UnknownTypeError"), ("list", "UnknownTypeError"), ("nested row", "UnknownTypeError"), ("text", None), ("integer with a schema", None)], ["row", "error"]))
+def encode_gate(spark, sf_dir):
+    tried = [("bare integer", {"a": 1}, None), ("list", {"a": ["x"]}, None), ("nested row", {"a": {"b": "x"}}, None), ("text", {"a": "x"}, None), ("integer with a schema", {"a": 1}, T.StructType([T.StructField("a", T.LongType())]))]
+    return spark.createDataFrame([(n, _error(codec.encode, spark, [row], schema)) for n, row, schema in tried], "row string, error string")
+
+
+@query("SELECT n_name AS value FROM nation")
+def decode_column(spark, sf_dir):
+    return spark.createDataFrame([(v,) for v in codec.decode_column(table(spark, sf_dir, "nation"), "n_name", optional=True)], "value string")
+
+
+@query("SELECT n_regionkey AS a, n_name AS b FROM nation")
+def decode_positional(spark, sf_dir):
+    """Rows by place, whatever the columns' names."""
+    rows = table(spark, sf_dir, "nation").select("n_name", F.col("n_regionkey").alias("n_name"))
+    return spark.createDataFrame([(r[1], r[0]) for r in codec.decode_rows(rows)], "a int, b string")
+
+
+@query(values_sql([("text", "Utf8"), ("flag", "Boolean"), ("real", "Float64"), ("bytes", "Binary"), ("moment", "Date64")], ["value", "type"]))
+def infer_types(spark, sf_dir):
+    tried = [("text", "x"), ("flag", True), ("real", 1.5), ("bytes", b"x"), ("moment", datetime(2020, 1, 1))]
+    return spark.createDataFrame([(n, str(types.infer(v))) for n, v in tried], "value string, type string")
+
+
+@query(values_sql([("n_nationkey", "bigint", False), ("n_name", "string", True), ("n_regionkey", "int", True)], ["column_name", "type", "nullable"]))
+def class_schema(spark, sf_dir):
+    from .operators.samples import Typed
+
+    return spark.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in codec.schema_of(Typed)], "column_name string, type string, nullable boolean")
+
+
+@query(values_sql([(0, "id", "Int32", False, None), (1, "name", "Utf8", True, "v"), (2, "parts", "List(Float64)", True, None)], ["place", "field", "type", "nullable", "meta"]))
+def schema_builder(spark, sf_dir):
+    made = SchemaBuilder().add("id", Type("int32"), False).add("name", Type("utf8"), metadata={"k": "v"}).add("parts", list_of(Type("float64"))).finish()
+    return spark.createDataFrame([(k, f.name, str(f.type), f.nullable, dict(f.metadata).get("k")) for k, f in enumerate(made.fields)], "place int, field string, type string, nullable boolean, meta string")
+
+
+_STRIDES = [("int8", 1), ("int64", 8), ("float32", 4), ("bool", 1), ("utf8", 1), ("date32", 4)]
+
+
+@query(values_sql([*((str(Type(k)), w) for k, w in _STRIDES), ("List(Int32)", 0), ("Struct(a: Int32)", 0)], ["type", "stride"]))
+def type_strides(spark, sf_dir):
+    kinds = [*(Type(k) for k, _ in _STRIDES), list_of(_INT), struct_of(Field("a", _INT))]
+    return spark.createDataFrame([(str(t), t.stride) for t in kinds], "type string, stride int")
+
+
+_FIELDS = [
+    ("same", Field("a", _INT), Field("a", _INT), True), ("name", Field("a", _INT), Field("b", _INT), False), ("type", Field("a", _INT), Field("a", _TEXT), False),
+    ("null", Field("a", _INT), Field("a", _INT, False), False), ("metadata", Field("a", _INT, metadata=(("k", "v"),)), Field("a", _INT), False), ("order of a dictionary", Field("a", _INT, ordered=True), Field("a", _INT), True),
+]
+
+
+@query(values_sql([(n, e) for n, _, _, e in _FIELDS], ["pair", "equal"]))
+def field_equality(spark, sf_dir):
+    return spark.createDataFrame([(n, a == b) for n, a, b, _ in _FIELDS], "pair string, equal boolean")
+
+
+@query(values_sql([("name", "b", "Int32", True, None, None), ("type", "a", "Utf8", True, None, None), ("nullable", "a", "Int32", False, None, None), ("metadata", "a", "Int32", True, "box", "v1")], ["change", "name", "type", "nullable", "extension", "extension_metadata"]))
+def field_changes(spark, sf_dir):
+    """Each change makes a new field; what an extension calls itself is in the metadata."""
+    f = Field("a", _INT)
+    made = {"name": f.with_name("b"), "type": f.with_type(_TEXT), "nullable": f.with_nullable(False), "metadata": f.with_metadata({types.EXTENSION_NAME: "box", types.EXTENSION_METADATA: "v1"})}
+    assert f == Field("a", _INT)
+    return spark.createDataFrame([(k, x.name, str(x.type), x.nullable, x.extension_name, x.extension_metadata) for k, x in made.items()], "change string, name string, type string, nullable boolean, extension string, extension_metadata string")
+
+
+@query(values_sql([("fresh", None), ("released", "InvalidError")], ["structure", "error"]))
+def cdata_release(spark, sf_dir):
+    """A released structure is not read."""
+    kept, gone = cdata.export_array(pa.array([1, 2])), cdata.export_array(pa.array([1, 2]))
+    gone.release()
+    out = spark.createDataFrame([("fresh", _error(cdata.check, kept)), ("released", _error(cdata.check, gone))], "structure string, error string")
+    kept.release()
+    return out
+
+
+@query("""SELECT row_index, key, name, price FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index, o_orderkey AS key FROM orders)
+JOIN (SELECT row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS row_index, o_orderstatus AS name FROM orders) USING (row_index)
+JOIN (SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS row_index, o_totalprice AS price FROM orders) USING (row_index)""")
+def batch_from_columns(spark, sf_dir):
+    """A batch from three columns, each in an order of its own, joined by position."""
+    orders = table(spark, sf_dir, "orders").withColumn("down", -F.col("o_totalprice"))
+    return frame.zip_columns({"key": (orders, "o_orderkey", ["o_orderkey"]), "name": (orders, "o_orderstatus", ["o_custkey", "o_orderkey"]), "price": (orders, "o_totalprice", ["down", "o_orderkey"])}, ("key",))
+
+
+@query(values_sql([("equal", None), ("unequal", "InvalidError"), ("null", "InvalidError"), ("none", "InvalidError")], ["columns", "error"]))
+def batch_check(spark, sf_dir):
+    a, b = (table(spark, sf_dir, "nation"), "n_name", ["n_nationkey"]), (table(spark, sf_dir, "region"), "r_name", ["r_regionkey"])
+    holes = (a[0].select("n_nationkey", F.nullif("n_name", F.lit("ALGERIA")).alias("n_name"), (F.col("n_nationkey") > 3).alias("x")).withColumn("n_name", F.when(F.col("x"), F.col("n_name"))), "n_name", ["n_nationkey"])
+    tried = [("equal", {"a": a, "b": a}, ()), ("unequal", {"a": a, "b": b}, ()), ("null", {"a": holes}, ("a",)), ("none", {}, ())]
+    return spark.createDataFrame([(n, _error(frame.zip_columns, c, required)) for n, c, required in tried], "columns string, error string")
+
+
+@query("""SELECT unnest(['o_orderkey', 'o_orderstatus', 'o_totalprice']) AS "column", unnest(['bigint', 'string', 'double']) AS type, unnest([o_orderkey::VARCHAR, o_orderstatus, o_totalprice::VARCHAR]) AS value
+FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 100)""")
+def any_values(spark, sf_dir):
+    return frame.any_values(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), ["o_orderkey"], 100)
+
+
+@query(values_sql([("rows of a statement", 3), ("unknown", -1)], ["statement", "rows"]))
+def sql_update(spark, sf_dir):
+    """The number of rows that a statement reports; -1 where it reports none."""
+    facade, name = _views(spark, sf_dir, "region"), f"view_{uuid.uuid4().hex}"
+    counted = facade.update("SELECT CAST(count(*) AS INT) FROM region WHERE r_regionkey < 3")
+    made = facade.update(f"CREATE TEMPORARY VIEW {name} AS SELECT * FROM region")
+    return spark.createDataFrame([("rows of a statement", counted), ("unknown", made)], "statement string, rows int")
+
+
+@query(values_sql([("primary", "nation", "n_nationkey", None), ("imported", "nation", "n_regionkey", "region"), ("exported", "nation", "n_regionkey", "region")], ["kind", "table_name", "column_name", "parent"]))
+def sql_all_keys(spark, sf_dir):
+    facade = flightsql.Facade(spark)
+    facade.declare_key("region", "r_regionkey")
+    facade.declare_key("nation", "n_nationkey")
+    facade.declare_key("nation", "n_regionkey", "foreign", "region", "r_regionkey")
+    found = [("primary", facade.primary_keys("nation").withColumn("parent", F.lit(None).cast("string"))), ("imported", facade.imported_keys("nation")), ("exported", facade.exported_keys("region"))]
+    return frame.concat([df.select(F.lit(kind).alias("kind"), "table_name", "column_name", "parent") for kind, df in found])
+
+
+@query(values_sql([(c, "UnsupportedError") for c in ("begin_transaction", "begin_savepoint", "end_transaction", "end_savepoint", "substrait")] + [("fetch", "InvalidError"), ("execute", "InvalidError")], ["call", "error"]))
+def sql_refused(spark, sf_dir):
+    facade = flightsql.Facade(spark)
+    calls = [(c, _error(getattr(facade, c))) for c in ("begin_transaction", "begin_savepoint", "end_transaction", "end_savepoint")]
+    calls += [(c, _error(getattr(facade, c), x)) for c, x in (("substrait", b""), ("fetch", "nothing"), ("execute", "nothing"))]
+    return spark.createDataFrame(calls, "call string, error string")
+
+
+@query("SELECT true AS cancelled, true AS stopped")
+def sql_cancel(spark, sf_dir):
+    """A running statement is stopped by its tag."""
+    facade, tag, ended = _views(spark, sf_dir, "orders"), f"tag{uuid.uuid4().hex}", []
+
+    def run():
+        try:
+            facade.run_tagged("SELECT count(*) FROM range(1000000) a CROSS JOIN range(1000000) b WHERE (a.id * b.id) % 7 = 8", tag).collect()
+        except Exception as e:
+            ended.append(e)
+
+    thread = InheritableThread(run)
+    thread.start()
+    found = []
+    for _ in range(600):
+        found += facade.cancel(tag)
+        thread.join(0.1)
+        if not thread.is_alive():
+            break
+    return spark.createDataFrame([(bool(found), len(ended) == 1)], "cancelled boolean, stopped boolean")

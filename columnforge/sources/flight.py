@@ -18,6 +18,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import pyarrow.flight as fl
+from pyspark import RDD
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -26,7 +27,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..errors import InvalidError, NoElementsError, UnsupportedError
 from ..plans.schema import to_spark
 from ..plans.types import legalise
-from ..streaming.messages import encode_schema, from_table
+from ..streaming.messages import encode_schema
+from .ipc import open_store
+from .ipc import register as register_files
+from .shared import new_path
 
 
 @dataclass(frozen=True)
@@ -113,22 +117,24 @@ def arrow_schema(df: DataFrame) -> pa.Schema:
     return to_arrow_schema(df.schema)
 
 
-def batches_of(df: DataFrame, partition: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Batches as they leave the executors, one partition after another; or those of one partition."""
-    schema = arrow_schema(df)
+def encoded(df: DataFrame) -> RDD:
+    """The batches of each partition, as streams of messages of one batch."""
 
     def encode(batches):
-        from pyspark import TaskContext
-
-        here = TaskContext.get().partitionId()
         for batch in batches:
-            if partition is None or here == partition:
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, batch.schema) as out:
-                    out.write_batch(batch)
-                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["stream"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["stream"])
+
+    return df.mapInArrow(encode, "stream binary").rdd
+
 
-    for row in df.mapInArrow(encode, "stream binary").toLocalIterator(prefetchPartitions=True):
+def batches_of(df: DataFrame, partition: int | None = None, streams: RDD | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches as they leave the executors, one partition after another; or those of one partition, running no other."""
+    schema, streams = arrow_schema(df), streams or encoded(df)
+    rows = streams.toLocalIterator(prefetchPartitions=True) if partition is None else streams.context.runJob(streams, lambda rows: list(rows), [partition])
+    for row in rows:
         for batch in pa.ipc.open_stream(row.stream):
             yield batch.cast(schema)
 
@@ -139,6 +145,15 @@ class Server(fl.FlightServerBase):
     def __init__(self, registry: Registry, location: str = "grpc://127.0.0.1:0") -> None:
         super().__init__(location)
         self.registry = registry
+        self._streams: dict[str, tuple[DataFrame, RDD]] = {}
+
+    def _encoded(self, name: str, df: DataFrame) -> RDD:
+        """A flight's streams, planned once, so that its partitions stay what its tickets say."""
+        if name not in self.registry.flights:
+            return encoded(df)
+        if self._streams.get(name, (None, None))[0] is not df:
+            self._streams[name] = df, encoded(df)
+        return self._streams[name][1]
 
     def list_actions(self, context):
         return [(kind, text) for kind, (text, _) in sorted(self.registry.actions.items())]
@@ -150,7 +165,7 @@ class Server(fl.FlightServerBase):
             yield fl.Result(data)
 
     def _info(self, descriptor: fl.FlightDescriptor, name: str, df: DataFrame) -> fl.FlightInfo:
-        parts = max(1, df.rdd.getNumPartitions()) if name in self.registry.flights else 1
+        parts = max(1, self._encoded(name, df).getNumPartitions()) if name in self.registry.flights else 1
         tickets = [Ticket(name, k if parts > 1 else None) for k in range(parts)]
         return fl.FlightInfo(arrow_schema(df), descriptor, [fl.FlightEndpoint(t.encode(), [f"grpc://127.0.0.1:{self.port}"]) for t in tickets], -1, -1)
 
@@ -168,17 +183,22 @@ class Server(fl.FlightServerBase):
     def do_get(self, context, ticket):
         wanted = Ticket.decode(ticket.ticket)
         df = self.registry.get(wanted.name)
-        return fl.GeneratorStream(arrow_schema(df), batches_of(df, wanted.partition))
+        return fl.GeneratorStream(arrow_schema(df), batches_of(df, wanted.partition, self._encoded(wanted.name, df)))
 
     def do_put(self, context, descriptor, reader, writer):
-        batches, rows = [], 0
-        for chunk in reader:
-            if chunk.data is not None:
-                batches.append(chunk.data)
-                rows += chunk.data.num_rows
-                writer.write(str(rows).encode())
-        table = pa.Table.from_batches(batches, reader.schema)
-        self.registry.put(Descriptor.of(descriptor).name, from_table(self.registry.spark, table))
+        spark, rows = self.registry.spark, 0
+        path = new_path(spark, "put")
+        store, inner = open_store(path)
+        store.create_dir(inner, recursive=True)
+        # written as they come, so that no more than a batch is held here
+        with store.open_output_stream(f"{inner}/put.arrows") as sink, pa.ipc.new_stream(sink, reader.schema) as out:
+            for chunk in reader:
+                if chunk.data is not None:
+                    out.write_batch(chunk.data)
+                    rows += chunk.data.num_rows
+                    writer.write(str(rows).encode())
+        register_files(spark)
+        self.registry.put(Descriptor.of(descriptor).name, spark.read.format("colstream").load(path))
         writer.write(str(rows).encode())
 
     def do_exchange(self, context, descriptor, reader, writer):
@@ -199,7 +219,7 @@ class Client:
     """The calls; handshakes and polling are not offered."""
 
     def __init__(self, location: str) -> None:
-        self.inner = fl.connect(location)
+        self.location, self.inner = location, fl.connect(location)
 
     def list_actions(self) -> list[tuple[str, str]]:
         return [(a.type, a.description) for a in self.inner.list_actions()]

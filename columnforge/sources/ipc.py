@@ -1,10 +1,11 @@
 """Columnar interchange files and streams as Spark data sources.
 
 `register(spark)` makes two formats: "colipc" reads and writes files with a footer, "colstream" streams of messages.
-Reading a file, each record batch is a partition of its own, found from the footer; a stream has no footer, so
-it is one partition. Columns that Spark lacks arrive widened (see plans.types).
+A file is read in partitions of about `partitionBytes` (64 MB), each of whole record batches, which its task finds from the
+footer; a stream has no footer, so it is one partition. Columns that Spark lacks arrive widened (see plans.types).
 
-Options: `columns` (comma-separated) reads only those; with `pushdown` = true, which needs
+Options: `columns` (comma-separated) reads only those columns' buffers; `blockRows` writes record batches of so many rows; `split` = batch
+makes a partition of each record batch (then the driver reads the footers); with `pushdown` = true, which needs
 spark.sql.python.filterPushdown.enabled, simple filters are evaluated in the reader, before rows cross to Spark. Paths may be files, folders or URIs.
 
 Each writing task makes one file under a hidden name; the commit renames the files of finished tasks, an abort
@@ -31,6 +32,8 @@ from ..plans.types import legalise
 
 #: Fixed value: the magic bytes at both ends of a file.
 MAGIC = b"ARROW1"
+#: Bytes of a file in a partition, unless the option says otherwise.
+PARTITION_BYTES = 64 << 20
 SUFFIXES = {"colipc": ".arrow", "colstream": ".arrows"}
 
 
@@ -63,21 +66,34 @@ def check_file(path: str) -> None:
             raise SourceError(f"{path} has no magic bytes at its ends")
 
 
-def open_file(path: str) -> pa.ipc.RecordBatchFileReader:
+def _included(schema: pa.Schema, columns: list[str] | None) -> pa.ipc.IpcReadOptions | None:
+    """Options that read only the wanted columns' buffers; of equal names the last column's."""
+    if not columns:
+        return None
+    if missing := [c for c in columns if c not in schema.names]:
+        raise InvalidError(f"no column {', '.join(missing)}")
+    return pa.ipc.IpcReadOptions(included_fields=sorted({schema.get_all_field_indices(c)[-1] for c in columns}))
+
+
+def open_file(path: str, columns: list[str] | None = None) -> pa.ipc.RecordBatchFileReader:
     check_file(path)
     store, inner = open_store(path)
     try:
         # a local file is mapped, so values are views of its pages
         source = pa.memory_map(inner) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(inner)
-        return pa.ipc.open_file(source)
+        whole = pa.ipc.open_file(source)
+        options = _included(whole.schema, columns)
+        return pa.ipc.open_file(source, options=options) if options else whole
     except pa.ArrowInvalid as e:
         raise SourceError(f"{path}: {e}") from e
 
 
-def open_stream(path: str) -> pa.ipc.RecordBatchStreamReader:
+def open_stream(path: str, columns: list[str] | None = None) -> pa.ipc.RecordBatchStreamReader:
     store, inner = open_store(path)
     try:
-        return pa.ipc.open_stream(store.open_input_stream(inner))
+        whole = pa.ipc.open_stream(store.open_input_stream(inner))
+        options = _included(whole.schema, columns)
+        return pa.ipc.open_stream(store.open_input_stream(inner), options=options) if options else whole
     except pa.ArrowInvalid as e:
         raise SourceError(f"{path}: {e}") from e
 
@@ -95,10 +111,11 @@ def legal_batch(batch: pa.RecordBatch, columns: list[str] | None) -> pa.RecordBa
 
 @dataclass
 class Block(InputPartition):
-    """A record batch of a file; -1: all of a stream."""
+    """Part `part` of the `parts` that a file's record batches are dealt into; parts 0: all of a stream."""
 
     path: str
-    index: int
+    part: int
+    parts: int
 
 
 _OPS = {"EqualTo": pc.equal, "GreaterThan": pc.greater, "GreaterThanOrEqual": pc.greater_equal, "LessThan": pc.less, "LessThanOrEqual": pc.less_equal}
@@ -109,19 +126,34 @@ class BatchReader(DataSourceReader):
         self.kind = kind
         self.path = options["path"]
         self.columns = [c.strip() for c in options["columns"].split(",")] if options.get("columns") else None
+        self.target = int(options.get("partitionbytes") or options.get("partitionBytes") or PARTITION_BYTES)
+        self.by_batch = options.get("split") == "batch"
         self.tests: list[tuple[str, str, object]] = []
 
+    def parts(self, path: str) -> list[Block]:
+        """Parts of about the target's size, from the file's size alone: footers are read by the tasks."""
+        if self.kind == "colstream":
+            return [Block(path, 0, 0)]
+        store, inner = open_store(path)
+        if self.by_batch:
+            n = open_file(path).num_record_batches
+            return [Block(path, k, n) for k in range(n)]
+        parts = max(1, -(-(store.get_file_info(inner).size or 0) // self.target))
+        return [Block(path, k, parts) for k in range(parts)]
+
     def partitions(self) -> list[Block]:
-        out = []
-        for path in listed(self.path):
-            out += [Block(path, -1)] if self.kind == "colstream" else [Block(path, k) for k in range(open_file(path).num_record_batches)]
-        return out or [Block("", -1)]
+        return [b for path in listed(self.path) for b in self.parts(path)] or [Block("", 0, 0)]
 
     def read(self, partition: Block) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        reader = open_stream(partition.path) if partition.index < 0 else open_file(partition.path)
-        for batch in reader if partition.index < 0 else [reader.get_batch(partition.index)]:
+        if partition.parts:
+            reader = open_file(partition.path, self.columns)
+            n = reader.num_record_batches
+            batches = map(reader.get_batch, range(partition.part * n // partition.parts, (partition.part + 1) * n // partition.parts))
+        else:
+            batches = open_stream(partition.path, self.columns)
+        for batch in batches:
             batch = legal_batch(batch, self.columns)
             for name, column, value in self.tests:
                 values = batch.column(column)
@@ -162,9 +194,7 @@ class NewFiles(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Block]:
         new = [posixpath.join(self.reader.path, n) for n in self._names() if start["after"] < n <= end["after"]]
-        if self.reader.kind == "colstream":
-            return [Block(p, -1) for p in new]
-        return [Block(p, k) for p in new for k in range(open_file(p).num_record_batches)]
+        return [b for p in new for b in self.reader.parts(p)]
 
     def read(self, partition: Block) -> Iterator[pa.RecordBatch]:
         return self.reader.read(partition)
@@ -181,6 +211,19 @@ class BatchWriter(DataSourceArrowWriter):
     def __init__(self, kind: str, options: dict, overwrite: bool) -> None:
         self.kind, self.path, self.overwrite = kind, options["path"], overwrite
         self.compression = options.get("compression")
+        self.block_rows = int(options.get("blockrows") or options.get("blockRows") or 0)
+
+    def _blocks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows in batches of block_rows, the last one of a task shorter."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            while (n := sum(b.num_rows for b in held)) >= self.block_rows:
+                whole = pa.concat_batches(held)
+                yield whole.slice(0, self.block_rows)
+                held = [whole.slice(self.block_rows)] if n > self.block_rows else []
+        if held:
+            yield pa.concat_batches(held)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, inner = open_store(self.path)
@@ -188,7 +231,7 @@ class BatchWriter(DataSourceArrowWriter):
         name = f"part-{uuid.uuid4().hex}{SUFFIXES[self.kind]}"
         out, rows, sink = None, 0, store.open_output_stream(f"{inner}/.{name}")
         with sink:
-            for batch in iterator:
+            for batch in self._blocks(iterator) if self.block_rows else iterator:
                 if out is None:
                     options = pa.ipc.IpcWriteOptions(compression=self.compression)
                     out = (pa.ipc.new_stream if self.kind == "colstream" else pa.ipc.new_file)(sink, batch.schema, options=options)

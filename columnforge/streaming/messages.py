@@ -15,6 +15,10 @@ from ..plans.schema import to_spark
 from ..plans.types import legalise
 
 
+#: Bytes in one stream of a partition; a binary value has 2 GB at most.
+PIECE_BYTES = 32 << 20
+
+
 def encode_schema(schema: pa.Schema) -> bytes:
     return schema.serialize().to_pybytes()
 
@@ -89,19 +93,29 @@ def from_table(spark, table: pa.Table) -> DataFrame:
     return spark.createDataFrame(legal, schema)
 
 
-def partition_streams(df: DataFrame) -> DataFrame:
-    """(partition, stream): each partition's rows as one stream of messages, encoded where they are."""
+def partition_streams(df: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """(partition, piece, stream): each partition's rows as streams of messages of about `piece_bytes` at most, encoded where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        first = next(batches, None)
-        if first is None:
-            return
-        data = to_stream([first, *batches], first.schema)
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([data], pa.binary())], ["partition", "stream"])
+        held: list[pa.RecordBatch] = []
+        size = piece = 0
 
-    return df.mapInArrow(run, "partition int, stream binary")
+        def out() -> pa.RecordBatch:
+            data = to_stream(held, held[0].schema)
+            return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([piece], pa.int32()), pa.array([data], pa.binary())], ["partition", "piece", "stream"])
+
+        for batch in batches:
+            if held and size + batch.nbytes > piece_bytes:
+                yield out()
+                held, size, piece = [], 0, piece + 1
+            held.append(batch)
+            size += batch.nbytes
+        if held:
+            yield out()
+
+    return df.mapInArrow(run, "partition int, piece int, stream binary")
 
 
 def read_streams(streams: DataFrame, schema: T.StructType) -> DataFrame:
