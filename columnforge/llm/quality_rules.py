@@ -5,7 +5,9 @@ pooled rate by a beta prior whose strength is fitted to the spread between hosts
 of a host whose shrunk rate is above `host_limit` are not kept.
 
 Only narrow columns are moved: the base verdicts are written to the shared folder once, rates are partial sums
-by host, and only hosts above the limit are joined back.
+by host, and every host's rate is joined back to its documents, as it is part of the result. The table of rates is written, so
+Spark knows its size: it is broadcast below Spark's own threshold, and beyond it the join is by host and salt, so that a hot
+host's documents are dealt to SALTS tasks.
 
 Defined cases: null text has no words, so it fails; a null host is judged by the base rules alone; without any
 failure, or with failures everywhere, the prior is flat; repeated rows count each; an empty table gives no rows;
@@ -22,6 +24,7 @@ from ._shared import stage
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 HOST_LIMIT = 0.6
+SALTS = 16
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -73,8 +76,9 @@ def rules(docs: DataFrame, host: str = "source", host_limit: float = HOST_LIMIT)
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("kk")).first()
     a, b = prior(total.n or 0.0, total.k or 0.0, total.kk or 0.0)
     rate = (F.col("k") + F.lit(a)) / (F.col("n") + F.lit(a + b))
-    bad = hosts.select("_host", F.round(rate, 9).alias("host_rate"))
-    out = judged.join(bad, "_host", "left")
+    rates = hosts.select("_host", F.round(rate, 9).alias("host_rate"), F.explode(F.array(*(F.lit(k) for k in range(SALTS)))).alias("_salt"))
+    salted = judged.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    out = salted.join(stage(rates, "rates"), ["_host", "_salt"], "left")
     kept = ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= host_limit)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rate", kept.alias("kept"))
 
