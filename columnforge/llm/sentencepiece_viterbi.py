@@ -34,6 +34,8 @@ SPACE = "▁"
 RANK_OFFSET = 10.0
 BYTE_COST = 10.0
 MEMORY = 400_000
+#: And characters of those words.
+MEMORY_CHARS = 16 << 20
 CHUNK = 4 << 20
 
 
@@ -198,11 +200,12 @@ class Coder:
 
     def forget(self) -> None:
         self.slot: dict[str, int] = {}
+        self.chars = 0
         self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and n + 1 offsets."""
-        if len(self.slot) > MEMORY:
+        if len(self.slot) > MEMORY or self.chars > MEMORY_CHARS:
             self.forget()
         lists = pc.split_pattern(pc.fill_null(text.cast(pa.large_string()), ""), " ")
         at = np.asarray(lists.offsets, np.int64)
@@ -219,6 +222,7 @@ class Coder:
             self.ids, self.count = np.concatenate((self.ids, flat)), np.concatenate((self.count, counts))
             slots[new] = np.arange(len(self.slot), len(self.slot) + len(new))
             self.slot.update((names[i], int(slots[i])) for i in new)
+            self.chars += sum(len(names[i]) for i in new)
         word = slots[coded.indices.to_numpy()]
         counts = self.count[word].copy()
         empty = np.asarray(pc.equal(pc.binary_length(pc.fill_null(text.cast(pa.large_string()), "")), 0))

@@ -41,6 +41,8 @@ SELECT = 256
 SHARD_BYTES = 48 << 20
 #: Words that a worker remembers the ids of.
 MEMORY = 400_000
+#: And characters of those words.
+MEMORY_CHARS = 16 << 20
 #: Words encoded as one text, and signs that may end such a word.
 JOINED = 256
 SIGNS = tuple(".,!?:")
@@ -140,11 +142,12 @@ class Encoder:
 
     def forget(self) -> None:
         self.slot: dict[str, int] = {}
+        self.chars = 0
         self.start, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and each text's number of ids."""
-        if len(self.slot) > MEMORY:
+        if len(self.slot) > MEMORY or self.chars > MEMORY_CHARS:
             self.forget()
         lists = pc.ascii_split_whitespace(pc.fill_null(text.cast(pa.large_string()), ""))
         at = np.asarray(lists.offsets, np.int64)
@@ -158,6 +161,7 @@ class Encoder:
             self.ids, self.count = np.concatenate((self.ids, flat)), np.concatenate((self.count, counts))
             slots[new] = np.arange(len(self.slot), len(self.slot) + len(new))
             self.slot.update((names[i], int(slots[i])) for i in new)
+            self.chars += sum(len(names[i]) for i in new)
         word = slots[coded.indices.to_numpy()]
         counts = self.count[word]
         sums = np.concatenate(([0], np.cumsum(counts)))
