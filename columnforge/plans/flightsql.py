@@ -121,12 +121,17 @@ class Facade:
         raise UnsupportedError("plans in another engine's format")
 
     def run_tagged(self, sql: str, tag: str) -> DataFrame:
-        """Jobs that this thread starts from now on carry the tag; see cancel."""
-        self.spark.addTag(tag)
+        """Jobs that this thread starts from now on are of the tag's group; see cancel."""
+        self.spark.sparkContext.setJobGroup(tag, sql)
         return self.query(sql)
 
     def cancel(self, tag: str) -> list[str]:
-        return self.spark.interruptTag(tag)
+        """Stop the running jobs of a tag; their numbers."""
+        context = self.spark.sparkContext
+        active = set(context.statusTracker().getActiveJobsIds())
+        found = [str(k) for k in context.statusTracker().getJobIdsForGroup(tag) if k in active]
+        context.cancelJobGroup(tag)
+        return found
 
     # catalogue
 

@@ -922,14 +922,14 @@ def sql_cancel(spark, sf_dir):
 
     def run():
         try:
-            facade.run_tagged("SELECT count(*) FROM range(1000000) a CROSS JOIN range(1000000) b WHERE (a.id * b.id) % 7 = 8", tag).collect()
+            facade.run_tagged("SELECT count(*) FROM range(0, 40000000000, 1, 64) WHERE id % 7 = 8", tag).collect()
         except Exception as e:
             ended.append(e)
 
     thread = InheritableThread(run)
     thread.start()
     found = []
-    for _ in range(600):
+    for _ in range(200):
         found += facade.cancel(tag)
         thread.join(0.1)
         if not thread.is_alive():
