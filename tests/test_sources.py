@@ -1,3 +1,4 @@
+import os
 import threading
 
 import pyarrow as pa
@@ -31,9 +32,16 @@ def test_blocks_and_columns(formats, tmp_path):
     t = pa.table({"k": list(range(100)), "u": pa.array(range(100), pa.uint32()), "v": [str(x) for x in range(100)]})
     with pa.ipc.new_file(path, t.schema) as out:
         out.write_table(t, max_chunksize=10)
-    df = formats.read.format("colipc").load(path)
-    assert df.rdd.getNumPartitions() == 10 and dict(df.dtypes)["u"] == "bigint"
-    assert formats.read.format("colipc").option("columns", "v").load(path).columns == ["v"]
+    read = lambda **o: formats.read.format("colipc").options(**o).load(path)
+    for options, parts in (({}, 1), ({"split": "batch"}, 10), ({"partitionBytes": 1000}, -(-os.path.getsize(path) // 1000))):
+        df = read(**options)
+        assert df.rdd.getNumPartitions() == parts and dict(df.dtypes)["u"] == "bigint"
+        assert sorted(r.k for r in df.collect()) == list(range(100))
+    assert read(columns="v").columns == ["v"]
+    # only the wanted columns' buffers are read
+    assert ipc.open_file(path, ["v"]).get_batch(0).schema.names == ["v"] and read(columns="v,k").toArrow().to_pylist()[7] == {"v": "7", "k": 7}
+    with pytest.raises(InvalidError):
+        ipc.open_file(path, ["nope"])
 
 
 def test_empty_and_damaged_files(formats, tmp_path):

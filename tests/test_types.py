@@ -131,7 +131,7 @@ def test_nullability(spark):
     assert [tuple(r) for r in violations(df, ["k", "v"]).collect()] == [("v", 1)]
     assert violations(df, []).count() == 0
     assert require(df, ["k"]).count() == 2
-    with pytest.raises(Exception, match="non-nullable column 'v'"):
+    with pytest.raises(Exception, match="v: null where none is allowed"):
         require(df, ["v"]).collect()
     with pytest.raises(InvalidError):
         require_same([df, df.select("k", "k")])
