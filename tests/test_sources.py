@@ -4,6 +4,7 @@ import threading
 import pyarrow as pa
 import pytest
 
+from columnforge import queries
 from columnforge.errors import InvalidError, NoElementsError, SourceError, UnsupportedError
 from columnforge.plans import flightsql
 from columnforge.sources import cdata, flight, ipc
@@ -27,6 +28,17 @@ def test_file_fixtures(formats, tmp_path):
         assert formats.read.format("colipc").load(path).toArrow().to_pylist() == t.to_pylist()
 
 
+def test_batches_with_bad_offsets_can_be_built_and_are_refused():
+    for offsets in ([0, 1, 3], [0, 1, 9], [0, 2, 1]):
+        batch = queries._with_offsets(offsets)
+        assert pa.Array.from_buffers(pa.int32(), 3, [None, batch.column(0).buffers()[1]]).to_pylist() == offsets
+        if offsets == [0, 1, 3]:
+            assert ipc.legal_batch(batch, None).to_pydict() == {"l": [[1], [2, 3]]}
+            continue
+        with pytest.raises(SourceError):
+            ipc.legal_batch(batch, None)
+
+
 def test_blocks_and_columns(formats, tmp_path):
     path = str(tmp_path / "a.arrow")
     t = pa.table({"k": list(range(100)), "u": pa.array(range(100), pa.uint32()), "v": [str(x) for x in range(100)]})
