@@ -220,6 +220,21 @@ def test_many_variants_of_a_line(make):
     check_lines(make, rows)
 
 
+def test_large_leaves(make, monkeypatch):
+    """A large family is compared with a row of seeds; buckets are for what has many groups in a leaf."""
+    names, whole = [], line_dedup.stage
+    monkeypatch.setattr(line_dedup, "stage", lambda df, name: names.append(name) or whole(df, name))
+    family = [(k, f"one two three four five {words(random.Random(k), 1, 'abcdefghijklm')}x{'qrstuvw'[k % 7]} six seven eight nine") for k in range(200)]
+    check_lines(make, family)
+    assert "compared" in names and "buckets" not in names
+    monkeypatch.setattr(line_dedup, "SMALL", 4)
+    rng = random.Random(8)
+    alone = [f"one two three {words(rng, 8)}" for _ in range(30)]
+    many = [(300 + k, x) for k, x in enumerate([*alone, *(x.rpartition(" ")[0] + " end" for x in alone[::3])])]
+    check_lines(make, many + family[:20])
+    assert "buckets" in names
+
+
 def test_lines_of_odd_rows(make, odd):
     docs = make(odd)
     assert line_dedup.summary(docs).count() == len(odd)
