@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from columnforge.llm import _shared, decontaminate, kneser_ney, line_dedup, near_dedup, quality_rules, url_filter
+from columnforge.llm import _filter, _shared, decontaminate, kneser_ney, line_dedup, near_dedup, quality_rules, url_filter
 from columnforge.llm.queries import RULES, op6_quality_classifier, op10_url_filter, table
 
 from .conftest import words
@@ -235,6 +235,22 @@ def test_large_leaves(make, monkeypatch):
     assert "buckets" in names
 
 
+def test_texts_that_lose_nothing_do_not_move(spark, make, monkeypatch):
+    """A filter parts them from the others, and finds every key, null ones too."""
+    keys = _shared.stage(spark.createDataFrame([(k * 100, k) for k in range(50)] + [(None, 7)], "a long, b long"), "keys")
+    rows = spark.createDataFrame([(k, b) for k in [*range(0, 5000, 25), None] for b in (k // 100 if k else 0, 7)], "a long, b long")
+    got = [(r.a, r.b, r.may) for r in _filter.Filter(keys, "a", "b").marked(rows, "may", "a", "b").collect()]
+    there = {tuple(r) for r in keys.collect()}
+    assert sorted(map(repr, got)) == sorted(repr((r.a, r.b, ((r.a, r.b) in there) or m)) for r, m in zip(rows.collect(), [x[2] for x in got], strict=True))
+    assert sum(m for *_, m in got) < 0.5 * len(got)
+    sent, marked = [], _filter.Filter.marked
+    monkeypatch.setattr(_filter.Filter, "marked", lambda *x: sent.append(_shared.stage(marked(*x), "marked")) or sent[-1])
+    note, rng = "this line is in some of them all", random.Random(9)
+    texts = [words(rng, 20) + ("\n" + note) * (k < 3) for k in range(60)]
+    assert [r.text for r in line_dedup.clean(make(texts)).orderBy("doc_id").collect()] == [texts[0], *(t.split("\n")[0] for t in texts[1:])]
+    assert 2 <= sent[0].where("_may").count() < 30
+
+
 def test_lines_of_odd_rows(make, odd):
     docs = make(odd)
     assert line_dedup.summary(docs).count() == len(odd)
