@@ -235,6 +235,26 @@ def test_large_leaves(make, monkeypatch):
     assert "buckets" in names
 
 
+def test_many_groups_of_a_leaf(make, monkeypatch):
+    """Lines that share tokens and do not agree: a few rounds, not one for each of their groups."""
+    names, whole = [], line_dedup.stage
+    monkeypatch.setattr(line_dedup, "stage", lambda df, name: names.append(name) or whole(df, name))
+    rng = random.Random(10)
+    rows = [(k, f"one two three four {'abcdefghij'[k % 10]}{'abcdefghij'[k // 10]} {words(rng, 1, 'qrstuvw')}y") for k in range(100)]
+    check_lines(make, rows + [(200 + k, t) for k, (_, t) in enumerate(rows[::4])])
+    assert "buckets" not in names and names.count("compared") == 1
+
+
+def test_tokens_of_wanted_lines_only(make, monkeypatch):
+    """All lines are written without their tokens, which are read again for those of leaves with several templates."""
+    sent, whole = {}, line_dedup.stage
+    monkeypatch.setattr(line_dedup, "stage", lambda df, name: sent.setdefault(name, whole(df, name)))
+    rng = random.Random(11)
+    rows = [(k, words(rng, 12) + "\n" + f"all the users called {n} logged in today from home") for k, n in enumerate(("ann", "bob", "cyd", "dan"))]
+    check_lines(make, [*rows, (None, rows[0][1]), (9, rows[1][1] + "\n1 2")])
+    assert "tokens" not in sent["lines"].columns and 0 < sent["tokens"].where("tokens IS NOT NULL").count() < sent["lines"].count() / 2
+
+
 def test_texts_that_lose_nothing_do_not_move(spark, make, monkeypatch):
     """A filter parts them from the others, and finds every key, null ones too."""
     keys = _shared.stage(spark.createDataFrame([(k * 100, k) for k in range(50)] + [(None, 7)], "a long, b long"), "keys")
