@@ -255,6 +255,17 @@ def test_tokens_of_wanted_lines_only(make, monkeypatch):
     assert "tokens" not in sent["lines"].columns and 0 < sent["tokens"].where("tokens IS NOT NULL").count() < sent["lines"].count() / 2
 
 
+def test_shares_of_repeated_rows(make, monkeypatch):
+    """Words of a text are summed up from its lines, and both grow alike when a row is repeated."""
+    sent, whole = {}, line_dedup.stage
+    monkeypatch.setattr(line_dedup, "stage", lambda df, name: sent.setdefault(name, whole(df, name)))
+    note, rng = "this line is in some of them all", random.Random(14)
+    rows = [(k, words(rng, 12) + "\n\t\n " + words(rng, 9) + "  5 \n" + note, "en", "s") for k in (0, 1, 1, None)]
+    rows[2] = rows[1]
+    assert line_dedup.drops(make(rows)).count() == 2
+    assert sorted(((r.doc_id is None, r.n / r.words) for r in sent["shares"].collect())) == [(False, 8 / 30), (True, 8 / 30)]
+
+
 def test_texts_that_lose_nothing_do_not_move(spark, make, monkeypatch):
     """A filter parts them from the others, and finds every key, null ones too."""
     keys = _shared.stage(spark.createDataFrame([(k * 100, k) for k in range(50)] + [(None, 7)], "a long, b long"), "keys")
